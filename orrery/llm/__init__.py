@@ -3,4 +3,5 @@
 QUERY_MODULES = [
     "orrery.llm.q_terms",
     "orrery.llm.q_near",
+    "orrery.llm.q_turns",
 ]
