@@ -4,4 +4,5 @@ QUERY_MODULES = [
     "orrery.llm.q_terms",
     "orrery.llm.q_near",
     "orrery.llm.q_turns",
+    "orrery.llm.q_leaks",
 ]
