@@ -5,4 +5,5 @@ QUERY_MODULES = [
     "orrery.llm.q_near",
     "orrery.llm.q_turns",
     "orrery.llm.q_leaks",
+    "orrery.llm.q_spans",
 ]
