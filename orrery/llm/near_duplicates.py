@@ -27,17 +27,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.words import U64, Hasher, f1_words, mix, odd_constants, run_sets
-from orrery.runtime import at_most, maybe_broadcast, stage
+from orrery.runtime import at_most, stage
 
 MINIMA, LOW_BITS = 64, 2
 RARE_BANDS = 14
 FULL_BANDS, FULL_ROWS = 32, 3
 SKETCH_BITS = 22
-COMMON_ABOVE = 24
+COMMON_ABOVE = 128
+WANTED_BITS = 24
 HOT_BUCKET = 4096
 BATCH_WORDS = 400_000
 _MULT = odd_constants(MINIMA, 4711)
@@ -143,7 +146,7 @@ def _members_and_entries(batches, k: int, min_words: int, threshold: float, comm
         raw = h.tobytes()
         dig = np.array([np.frombuffer(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest(), U64) for a, b in zip(at[:-1], at[1:])]).reshape(-1, 2)
         n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(dig[:, 0].view(np.int64)), pa.array(dig[:, 1].view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["rid", "cls", "cls2", "part", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(dig[:, 0].view(np.int64)), pa.array(dig[:, 1].view(np.int64)), pa.array((dig[:, 0] % U64(parts)).astype(np.int32)), pa.nulls(n, pa.binary())], names=["rid", "cls", "cls2", "part", "blob"])
         _, first = np.unique(dig[:, 0], return_index=True)  # copies within the portion enter bands once
         pick = np.zeros(n, bool)
         pick[first] = True
@@ -190,7 +193,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(same) / MINIMA - chance) / (1 - chance)
 
 
-def cut_off(threshold: float, sigmas: float = 3.5) -> float:
+def cut_off(threshold: float, sigmas: float = 3.0) -> float:
     """The estimate below which a pair is given up: ``sigmas`` standard deviations under the threshold."""
     c = 2.0**-LOW_BITS
     p = c + (1 - c) * threshold
@@ -201,14 +204,19 @@ def _pairs_out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, U64) for i in (0, 1))
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), U64)
     n = len(both)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["a", "b", "hot", "entry"])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["rid", "a", "b", "hot", "entry"])
 
 
 def _buckets(batches, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes in a bucket whose estimate reaches ``least``; entries of hot buckets as they are."""
+    """Pairs of classes in a bucket whose estimate reaches ``least``; entries of hot buckets and membership rows as they are."""
     blobs: dict[int, list[bytes]] = {}
     for b in batches:
-        for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        is_row = b.column("rid").is_valid()
+        rows = b.filter(is_row)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("cls"), rows.column("cls2"), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())], names=["rid", "a", "b", "hot", "entry"])
+        rest = b.filter(pc.invert(is_row))
+        for p, blob in zip(rest.column("part").to_pylist(), rest.column("blob").to_pylist()):
             blobs.setdefault(p, []).append(blob)
     for p in list(blobs):
         e = np.frombuffer(b"".join(blobs.pop(p)), _ENTRY)
@@ -226,7 +234,7 @@ def _buckets(batches, least: float) -> Iterator[pa.RecordBatch]:
             for j in range(0, len(rows), 10_000):
                 part = rows[j : j + 10_000]
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, hot, np.int64)), pa.array([x.tobytes() for x in part], pa.binary())], names=["a", "b", "hot", "entry"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, hot, np.int64)), pa.array([x.tobytes() for x in part], pa.binary())], names=["rid", "a", "b", "hot", "entry"])
         left = np.repeat(np.where((size > 1) & (size <= HOT_BUCKET), size, 0), size)
         rank = np.arange(len(e)) - np.repeat(at, size)
         todo = np.flatnonzero(left > 1)
@@ -267,11 +275,52 @@ def _block_pairs(batches, least: float) -> Iterator[pa.RecordBatch]:
                     yield _pairs_out([(np.full(int(ok.sum()), one["cls"], U64), own[1]["cls"][ok])])
 
 
-_PAIRS = "a long, b long, hot long, entry binary"
+_PAIRS = "rid string, a long, b long, hot long, entry binary"
 
 
-def _sets(batches, k: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    for ids, tokens, sizes in _texts(batches, min_words):
+def _slot(rid: str) -> int:
+    return xxhash.xxh3_64_intdigest(rid) >> (64 - WANTED_BITS)
+
+
+def _wanted(batches) -> Iterator[pa.RecordBatch]:
+    """Set bits of the wanted record ids, in chunks of 2**16."""
+    bits = np.zeros(1 << WANTED_BITS, bool)
+    for b in batches:
+        bits[[_slot(r) for r in b.column(0).to_pylist()]] = True
+    chunks = bits.reshape(-1, 1 << 16)
+    used = np.flatnonzero(chunks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([np.packbits(chunks[c]).tobytes() for c in used], pa.binary())], names=["chunk", "bits"])
+
+
+def _or_chunks(batches) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            sums[c] = sums.get(c, 0) | np.frombuffer(x, np.uint8)
+    for c, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "bits"])
+
+
+def wanted_sketch(rids: DataFrame) -> np.ndarray:
+    """A sketch of fixed size that holds every id of ``rids`` (and a few others): it thins a scan before its join."""
+    bits = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    parts = rids.mapInArrow(_wanted, "chunk int, bits binary").repartition("chunk").mapInArrow(_or_chunks, "chunk int, bits binary")
+    for row in parts.toLocalIterator():
+        bits[row["chunk"] << 13 : (row["chunk"] + 1) << 13] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def _sets(batches, k: int, min_words: int, wanted) -> Iterator[pa.RecordBatch]:
+    bits = wanted.value
+
+    def thinned():
+        for b in batches:
+            at = np.array([-1 if r is None else _slot(r) for r in b.column(0).to_pylist()], np.int64)
+            keep = (at >= 0) & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    for ids, tokens, sizes in _texts(thinned(), min_words):
         h, _, counts = run_sets(tokens, sizes, k)
         at = np.concatenate([[0], np.cumsum(counts)])
         raw = h.tobytes()
@@ -303,25 +352,25 @@ def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, t
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or 4 * shuffle
     common = spark.sparkContext.broadcast(common_runs(src, k, least_words))
-    both = stage(src.mapInArrow(partial(_members_and_entries, k=k, min_words=least_words, threshold=threshold, common=common, parts=parts), "rid string, cls long, cls2 long, part int, blob binary").withColumn("kind", F.col("rid").isNull().cast("int")), "band-entries", by="kind")
     least = cut_off(threshold)
-    found = stage(both.where("kind = 1").select("part", "blob").repartition(min(parts, 4 * shuffle), "part").mapInArrow(partial(_buckets, least=least), _PAIRS), "bucket-pairs")
-    pairs = found.where("hot is null").select("a", "b")
-    hot = found.where("hot is not null").select("hot", "entry")
+    entries = src.mapInArrow(partial(_members_and_entries, k=k, min_words=least_words, threshold=threshold, common=common, parts=parts), "rid string, cls long, cls2 long, part int, blob binary")
+    found = stage(entries.repartition(min(parts, 4 * shuffle), "part").mapInArrow(partial(_buckets, least=least), _PAIRS).withColumn("kind", F.when(F.col("rid").isNotNull(), 0).when(F.col("hot").isNull(), 1).otherwise(2)), "buckets", by="kind")
+    pairs = found.where("kind = 1").select("a", "b")
+    hot = found.where("kind = 2").select("hot", "entry")
     if not at_most(hot, 0):
         n = hot.groupBy("hot").agg(F.ceil(F.count("*") / (HOT_BUCKET // 2)).cast("int").alias("nb"))
         blk = hot.join(n, "hot").withColumn("blk", F.pmod(F.xxhash64("entry"), F.col("nb")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
         spread = blk.withColumn("o", other).select("hot", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("blk") == F.col("o"), 2).when(F.col("blk") < F.col("o"), 0).otherwise(1).alias("side"), "entry")
         pairs = pairs.unionByName(spread.repartition(4 * shuffle, "hot", "i", "j").mapInArrow(partial(_block_pairs, least=least), _PAIRS).select("a", "b"))
-    members = both.where("kind = 0").select("rid", "cls", "cls2").distinct()
+    members = found.where("kind = 0").select("rid", F.col("a").alias("cls"), F.col("b").alias("cls2")).distinct()
     reps = members.groupBy("cls", "cls2").agg(F.min("rid").alias("rep"))
-    cand = pairs.distinct()
+    cand = stage(pairs.distinct(), "candidates")
     need = cand.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    named = stage(reps.join(need, "cls"), "candidate-classes")
-    wanted, _ = maybe_broadcast(named.select(F.col("rep").alias("rid")))
-    sets = src.join(wanted, "rid", "left_semi").dropDuplicates(["rid"]).mapInArrow(partial(_sets, k=k, min_words=least_words), "rid string, runs binary")
-    sets = stage(named.join(sets, named["rep"] == sets["rid"]).select("cls", "rid", "runs"), "candidate-sets")
+    named = stage(reps.join(need, "cls").select("cls", F.col("rep").alias("rid")), "candidate-classes")
+    wanted = spark.sparkContext.broadcast(wanted_sketch(named.select("rid")))
+    sets = src.mapInArrow(partial(_sets, k=k, min_words=least_words, wanted=wanted), "rid string, runs binary").dropDuplicates(["rid"])
+    sets = stage(named.join(sets, "rid"), "candidate-sets")
     one, two = (sets.select(F.col("cls").alias(x), F.col("rid").alias(f"rid_{x}"), F.col("runs").alias(f"runs_{x}")) for x in "ab")
     checked = cand.join(one, "a").join(two, "b").select("rid_a", "rid_b", "runs_a", "runs_b").mapInArrow(_exact, "rid_a string, rid_b string, jaccard double").where(F.col("jaccard") >= threshold)
     links = checked.select(F.least("rid_a", "rid_b").alias("rep_a"), F.greatest("rid_a", "rid_b").alias("rep_b"), "jaccard").distinct()
