@@ -6,4 +6,5 @@ QUERY_MODULES = [
     "orrery.llm.q_turns",
     "orrery.llm.q_leaks",
     "orrery.llm.q_spans",
+    "orrery.llm.q_mixing",
 ]
