@@ -20,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +133,39 @@ def _anchor_rows(batches, min_span: int) -> Iterator[pa.RecordBatch]:
             yield out(held)
 
 
+def _repeated(batches) -> Iterator[pa.RecordBatch]:
+    """Class rows, and the anchors of more than one class, from rows ordered by anchor and class."""
+    held = None
+
+    def rows(t: pa.Table, last: bool):
+        """The anchors of t that are to be kept; an anchor that may go on is held back."""
+        nonlocal held
+        h, cls = t.column("h").to_numpy(), t.column("cls").to_numpy()
+        start = np.ones(len(h), bool)
+        start[1:] = h[1:] != h[:-1]
+        at = np.flatnonzero(start)
+        ends = np.append(at[1:], len(h))
+        keep = np.repeat(cls[at] != cls[ends - 1], ends - at)
+        cut = len(h) if last else int(at[-1])
+        if not last and cls[at[-1]] != cls[-1]:
+            # known to be repeated: one earlier row of another class is enough to hold
+            out, held = t.filter(pa.array(keep)), t.slice(at[-1], 1)
+        else:
+            out, held = t.slice(0, cut).filter(pa.array(keep[:cut])), t.slice(cut)
+        return out
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        is_class = pc.is_null(t.column("h"))
+        yield from t.filter(is_class).to_batches()
+        t = t.filter(pc.invert(is_class))
+        if not len(t):
+            continue
+        yield from rows(pa.concat_tables([held, t]) if held is not None and len(held) else t, False).to_batches()
+    if held is not None and len(held):
+        yield from rows(held, True).to_batches()
+
+
 def _blocks(batches, min_span: int) -> Iterator[pa.RecordBatch]:
     """Blocks around the kept anchors of each class: (h, cls, block id, block, anchor's place in it, block's place)."""
     k = min_span // 2
@@ -251,11 +285,10 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, min_span: int = MIN_SP
     """
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).alias("txt")).where("doc is not null and txt is not null")
-    marks = stage(src.mapInArrow(partial(_anchor_rows, min_span=min_span), "doc string, cls long, n long, h long").withColumn("kind", F.col("doc").isNull().cast("int")), "anchors", by="kind")
+    marks = src.mapInArrow(partial(_anchor_rows, min_span=min_span), "doc string, cls long, n long, h long").repartition(n_parts, F.coalesce("h", "cls")).sortWithinPartitions("h", "cls", "n")
+    marks = stage(marks.mapInArrow(_repeated, "doc string, cls long, n long, h long").withColumn("kind", F.col("doc").isNull().cast("int")), "anchors", by="kind")
     classes = marks.where("kind = 0").select("doc", "cls", "n").distinct()
-    found = marks.where("kind = 1").select("cls", "n", "h").distinct()
-    again = found.groupBy("h").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").select("h")
-    kept = found.join(again, "h").groupBy("cls").agg(F.collect_list(F.struct("n", "h")).alias("kept"))
+    kept = marks.where("kind = 1").groupBy("cls").agg(F.collect_set(F.struct("n", "h")).alias("kept"))
     # one document of each class gives the text
     bearer = kept.join(classes.groupBy("cls").agg(F.min("doc").alias("doc")), "cls")
     blocks = stage(src.dropDuplicates(["doc"]).join(bearer, "doc").select("cls", "txt", "kept").mapInArrow(partial(_blocks, min_span=min_span), "h long, cls long, bid long, block string, place int, lo long"), "blocks")
