@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.shingles import band_keys, estimate, hash_params, lsh_probability, minhash_expression, minhash_udf, permuted, stable_hash
 from orrery.functions.text import excerpt, f1_words
+from orrery.runtime import stage
 
 
 def window_starts(n: Column, size: int, stride: int) -> Column:
@@ -68,16 +69,34 @@ def cross() -> Column:
     return F.col("file_a") != F.col("file_b")
 
 
-def exact_pairs(sets: DataFrame, size: int) -> DataFrame:
-    """(a, b, files, starts, j): exact similarity of every non-trivial pair that shares a shingle.
+def numbered(sets: DataFrame) -> DataFrame:
+    """Sets as a stage table with a number ``wid`` each, so that pairs can travel as numbers."""
+    return stage(sets.withColumn("wid", F.monotonically_increasing_id()), "numbered-sets")
 
-    The inverted index is a self-join on the shingle hash; pairs are counted
-    on the map side before they are shuffled by pair.
+
+def exact_pair_ids(sets: DataFrame, size: int) -> DataFrame:
+    """(wa, wb, j): exact similarity of every non-trivial pair of numbered sets that shares a shingle.
+
+    The inverted index is a self-join on the shingle hash over fixed-width
+    columns; pairs are counted on the map side before they are shuffled.
     """
-    rows = sets.select("window_id", "file", "start", F.size("h").alias("n"), F.explode("h").alias("x"))
-    one, two = (rows.select("x", F.col("window_id").alias(i), F.col("file").alias(f"file_{i}"), F.col("start").alias(f"start_{i}"), F.col("n").alias(f"n_{i}")) for i in "ab")
-    shared = one.join(two, "x").where((F.col("a") < F.col("b")) & ~trivial(size)).groupBy("a", "b", "file_a", "file_b", "start_a", "start_b", "n_a", "n_b").agg(F.count("*").alias("both"))
-    return shared.select("a", "b", "file_a", "file_b", "start_a", "start_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("j"))
+    rows = sets.select("wid", F.xxhash64("file").alias("fh"), "start", F.size("h").alias("n"), F.explode("h").alias("x"))
+    one, two = (rows.select("x", F.col("wid").alias(f"w{i}"), F.col("fh").alias(f"file_{i}"), F.col("start").alias(f"start_{i}"), F.col("n").alias(f"n_{i}")) for i in "ab")
+    shared = one.join(two, "x").where((F.col("wa") < F.col("wb")) & ~trivial(size)).groupBy("wa", "wb", (F.col("n_a") + F.col("n_b")).alias("n")).agg(F.count("*").alias("both"))
+    return shared.select("wa", "wb", (F.col("both") / (F.col("n") - F.col("both"))).alias("j"))
+
+
+def named_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, files, starts, j) of numbered pairs, a < b by window id."""
+    one, two = (sets.select(F.col("wid").alias(f"w{i}"), F.struct("window_id", "file", "start").alias(i)) for i in "ab")
+    both = pairs.join(one, "wa").join(two, "wb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "j")
+    return both.select(F.col("a.window_id").alias("a"), F.col("b.window_id").alias("b"), F.col("a.file").alias("file_a"), F.col("b.file").alias("file_b"), F.col("a.start").alias("start_a"), F.col("b.start").alias("start_b"), "j")
+
+
+def exact_pairs(sets: DataFrame, size: int, keep_from: float = 0.0) -> DataFrame:
+    """(a, b, files, starts, j) of the non-trivial pairs that share a shingle, from a similarity of ``keep_from`` on."""
+    sets = sets if "wid" in sets.columns else numbered(sets)
+    return named_pairs(exact_pair_ids(sets, size).where(F.col("j") >= keep_from), sets)
 
 
 def bin_of(j: Column, bins: int) -> Column:
@@ -111,8 +130,8 @@ def error_summary(estimated: DataFrame, n: int) -> DataFrame:
 def evaluation(cands: DataFrame, truth: DataFrame, sigs: DataFrame, size: int, threshold: float, only_cross: bool) -> DataFrame:
     """Recall and precision of non-trivial candidates, plain and verified by estimate; null on empty denominators.
 
-    ``truth`` holds the exact similarity of every sharing pair, so a
-    candidate that isn't there has similarity 0.
+    ``truth`` holds every pair whose similarity reaches ``threshold``; a
+    candidate that isn't there lies below it.
     """
     pick = (lambda df: df.where(cross())) if only_cross else (lambda df: df)
     c = with_estimates(pick(cands.where(~trivial(size))).select("a", "b"), sigs)
@@ -129,16 +148,11 @@ def evaluation(cands: DataFrame, truth: DataFrame, sigs: DataFrame, size: int, t
     return n.select("true_pairs", "candidates", rate("hits", "true_pairs").alias("recall"), rate("hits", "candidates").alias("precision"), "verified_candidates", rate("verified_hits", "true_pairs").alias("verified_recall"), rate("verified_hits", "verified_candidates").alias("verified_precision"))
 
 
-def s_curve(truth: DataFrame, cands: DataFrame, bands: int, rows: int, keep_from: float = 0.1) -> DataFrame:
-    """Candidate rate per 0.05 of similarity beside theory, for bins whose pairs are all kept."""
-    marked = truth.join(cands.select("a", "b", F.lit(1.0).alias("hit")), ["a", "b"], "left").withColumn("bin", bin_of(F.col("j"), 20))
-    kept = F.col("j") >= keep_from
-    return (
-        marked.groupBy("bin")
-        .agg(F.count("*").alias("all_pairs"), F.count_if(kept).alias("pairs"), F.round(F.avg(F.when(kept, F.coalesce("hit", F.lit(0.0)))), 4).alias("measured"), F.round(F.avg(F.when(kept, lsh_probability(F.col("j"), bands, rows))), 4).alias("theory"))
-        .where("pairs > 0 and pairs = all_pairs")
-        .drop("all_pairs")
-    )
+def s_curve(kept: DataFrame, counts: DataFrame, cands: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Candidate rate per 0.05 of similarity beside theory, for bins of which ``kept`` holds every pair that ``counts`` (a histogram) has."""
+    marked = kept.join(cands.select("a", "b", F.lit(1.0).alias("hit")), ["a", "b"], "left")
+    per = marked.groupBy(bin_of(F.col("j"), 20).alias("bin")).agg(F.count("*").alias("pairs"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 4).alias("measured"), F.round(F.avg(lsh_probability(F.col("j"), bands, rows)), 4).alias("theory"))
+    return per.join(counts, ["bin", "pairs"])
 
 
 def coverage(truth: DataFrame, files: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -168,6 +182,11 @@ def top_pairs(truth: DataFrame, windows: DataFrame, size: int, limit: int = 10)
                 taken.append(i)
         return g.iloc[taken][["a", "b", "j"]]
 
+    # the best pairs of the first ``limit`` pairs of files are all taken, so nothing behind the last of them can be
+    rank = F.struct((-F.col("j")).alias("s"), F.col("a").alias("a"), F.col("b").alias("b"))
+    fronts = truth.where(cross()).groupBy("file_a", "file_b").agg(F.min(rank).alias("r")).orderBy("r").limit(limit).agg(F.count("*").alias("n"), F.max("r").alias("r")).first()
+    if fronts["n"] == limit:
+        truth = truth.where(rank <= F.struct(F.lit(fronts["r"]["s"]).alias("s"), F.lit(fronts["r"]["a"]).alias("a"), F.lit(fronts["r"]["b"]).alias("b")))
     best = truth.where(cross()).select("file_a", "file_b", "a", "b", "start_a", "start_b", "j").groupBy("file_a", "file_b").applyInPandas(greedy, "a string, b string, j double")
     top = best.orderBy(F.desc("j"), "a", "b").limit(limit)
     one, two = (windows.select(F.col("window_id").alias(i), excerpt(F.col("tokens")).alias(f"{i}_text")) for i in "ab")

@@ -10,7 +10,7 @@ from orrery.operators import similarity as S
 from orrery.runtime import stage
 from orrery.sources.tables import table
 
-SIZE, STRIDE, K, N, SEED, BANDS, ROWS, NEAR = 50, 25, 3, 100, 4099, 25, 4, 0.5
+SIZE, STRIDE, K, N, SEED, BANDS, ROWS, NEAR, KEEP = 50, 25, 3, 100, 4099, 25, 4, 0.5, 0.1
 SETTINGS = ((20, 5), (25, 4), (10, 10))
 
 
@@ -77,20 +77,21 @@ def lsh_candidates_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(S.exact_pairs(_sets(spark, sf_dir), SIZE), "exact-pairs")
+    """The pairs kept: similarity 0.1 or more."""
+    return S.exact_pairs(_sets(spark, sf_dir), SIZE, KEEP)
 
 
 def exact_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.exact_pairs(_sets(spark, sf_dir), SIZE).where("j >= 0.1").select("a", "b", "j")
+    return _truth(spark, sf_dir).select("a", "b", "j")
 
 
 def jaccard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.histogram(S.exact_pairs(_sets(spark, sf_dir), SIZE))
+    return S.histogram(S.exact_pair_ids(S.numbered(_sets(spark, sf_dir)), SIZE))
 
 
 def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = stage(_sets(spark, sf_dir), "window-sets")
-    return S.with_estimates(S.exact_pairs(sets, SIZE).where("j >= 0.1"), stage(_sigs(sets), "window-signatures"))
+    sets = S.numbered(_sets(spark, sf_dir))
+    return S.with_estimates(S.exact_pairs(sets, SIZE, KEEP), stage(_sigs(sets), "window-signatures"))
 
 
 def minhash_error_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +103,8 @@ def minhash_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evaluations(spark: SparkSession, sf_dir: str, only_cross: bool) -> DataFrame:
-    sets = stage(_sets(spark, sf_dir), "window-sets")
-    truth, sigs = stage(S.exact_pairs(sets, SIZE), "exact-pairs"), stage(_sigs(sets), "window-signatures")
+    sets = S.numbered(_sets(spark, sf_dir))
+    truth, sigs = stage(S.exact_pairs(sets, SIZE, NEAR), "exact-pairs"), stage(_sigs(sets), "window-signatures")
     rows = [S.evaluation(S.candidate_pairs(S.buckets(sigs, b, r)), truth, sigs, SIZE, NEAR, only_cross).select(F.lit(f"b={b},r={r}").alias("setting"), "*") for b, r in SETTINGS]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
@@ -117,7 +118,10 @@ def lsh_evaluation_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s_curve_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.s_curve(_truth(spark, sf_dir), _pairs(spark, sf_dir), BANDS, ROWS)
+    sets = S.numbered(_sets(spark, sf_dir))
+    pairs = stage(S.exact_pair_ids(sets, SIZE), "pair-ids")
+    kept = S.named_pairs(pairs.where(F.col("j") >= KEEP), sets)
+    return S.s_curve(kept, S.histogram(pairs), S.candidate_pairs(S.buckets(_sigs(sets), BANDS, ROWS)), BANDS, ROWS)
 
 
 def s_curve_theory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +132,7 @@ def s_curve_theory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.coverage(S.exact_pairs(_sets(spark, sf_dir), SIZE), _windows(spark, sf_dir), SIZE, NEAR)
+    return S.coverage(S.exact_pairs(_sets(spark, sf_dir), SIZE, NEAR), _windows(spark, sf_dir), SIZE, NEAR)
 
 
 def windows_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +140,7 @@ def windows_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top_pairs(_truth(spark, sf_dir).where("j >= 0.1"), _windows(spark, sf_dir), SIZE)
+    return S.top_pairs(stage(_truth(spark, sf_dir), "exact-pairs"), _windows(spark, sf_dir), SIZE)
 
 
 QUERIES = {
