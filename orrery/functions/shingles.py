@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PRIME = (1 << 61) - 1
 
@@ -53,7 +54,11 @@ def permuted(x: Column, a: int, b: int) -> Column:
 
 def minhash_expression(hashes: Column, params: list[tuple[int, int]]) -> Column:
     """The signature of an array of hashes, by higher-order functions alone."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda x, a=a, b=b: permuted(x, a, b))) for a, b in params])
+
+    def one(a: int, b: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda x: permuted(x, a, b)))
+
+    return F.array(*[one(a, b) for a, b in params])
 
 
 def minhash_numpy(sets: list[np.ndarray], params: list[tuple[int, int]]) -> list[np.ndarray]:
@@ -75,7 +80,7 @@ def minhash_numpy(sets: list[np.ndarray], params: list[tuple[int, int]]) -> list
 def minhash_udf(params: list[tuple[int, int]]):
     """A pandas UDF from an array of hashes to its signature; null for an empty or null array."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def signature(hashes: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(hashes), dtype=object)
         full = [i for i, h in enumerate(hashes) if h is not None and len(h)]

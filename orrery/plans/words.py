@@ -10,7 +10,7 @@ from orrery.functions.text import blank_tokens, f1_words, f2_count, lines, utf8_
 from orrery.operators.relational import sum_counts, word_count
 from orrery.sources.tables import table
 
-_TEXT = F.col("text")
+_TEXT = "text"
 
 
 def wordcount_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
