@@ -5,10 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PRIME = (1 << 61) - 1
 
@@ -61,35 +61,38 @@ def minhash_expression(hashes: Column, params: list[tuple[int, int]]) -> Column:
     return F.array(*[one(a, b) for a, b in params])
 
 
-def minhash_numpy(sets: list[np.ndarray], params: list[tuple[int, int]]) -> list[np.ndarray]:
-    """Signatures of non-empty sets of hashes below 2**32."""
-    p, m32, m29 = np.uint64(PRIME), np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
-    x = np.concatenate(sets).astype(np.uint64)
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
-    out = np.empty((len(params), len(sets)), np.int64)
+def minhash_numpy(values: np.ndarray, starts: np.ndarray, params: list[tuple[int, int]]) -> np.ndarray:
+    """Signatures (a row each) of non-empty sets of hashes below 2**32, given on end with the start of each."""
+    p, m29 = np.uint64(PRIME), np.uint64((1 << 29) - 1)
+    x = values.astype(np.uint64)
+    out = np.empty((len(starts), len(params)), np.int64)
     for i, (a, b) in enumerate(params):
         t = (np.uint64(a >> 32) * x) % p
         t = ((t & m29) << np.uint64(32)) + (t >> np.uint64(29))
-        v = np.uint64(a) & m32
-        v = v * x
+        v = np.uint64(a & ((1 << 32) - 1)) * x
         v = (v & p) + (v >> np.uint64(61))
-        out[i] = np.minimum.reduceat((t % p + v % p + np.uint64(b)) % p, at)
-    return list(out.T)
-
-
-def minhash_udf(params: list[tuple[int, int]]):
-    """A pandas UDF from an array of hashes to its signature; null for an empty or null array."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def signature(hashes: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(hashes), dtype=object)
-        full = [i for i, h in enumerate(hashes) if h is not None and len(h)]
-        if full:
-            for i, s in zip(full, minhash_numpy([np.asarray(hashes.iloc[i]) for i in full], params)):
-                out.iloc[i] = s
-        return out
-
-    return signature
+        out[:, i] = np.minimum.reduceat((t + v + np.uint64(b)) % p, starts)
+    return out
+
+
+def minhash_batches(params: list[tuple[int, int]]):
+    """A function for mapInArrow: the last column, an array of hashes, becomes its signature; empty and null sets are left out."""
+
+    def run(batches):
+        for batch in batches:
+            last = batch.num_columns - 1
+            full = pc.fill_null(pc.greater(pc.list_value_length(batch.column(last)), 0), False)
+            batch = batch.filter(full)
+            if not len(batch):
+                continue
+            lists = batch.column(last)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            sig = minhash_numpy(lists.flatten().to_numpy(zero_copy_only=False), starts, params)
+            offsets = np.arange(0, sig.size + 1, len(params), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.ravel()))], names=[*batch.schema.names[:last], "sig"])
+
+    return run
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.shingles import band_keys, estimate, hash_params, lsh_probability, minhash_expression, minhash_udf, permuted, stable_hash
+from orrery.functions.shingles import band_keys, estimate, hash_params, lsh_probability, minhash_batches, minhash_expression, permuted, stable_hash
 from orrery.functions.text import excerpt, f1_words
 from orrery.runtime import stage
 
@@ -42,8 +42,10 @@ def signatures(sets: DataFrame, n: int = 100, seed: int = 4099, method: str = "n
     if method == "aggregate":
         mins = sets.select(*keys, F.explode("h").alias("x")).groupBy(*keys).agg(*[F.min(permuted(F.col("x"), a, b)).alias(f"m{i}") for i, (a, b) in enumerate(params)])
         return mins.select(*keys, F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
-    make = minhash_udf(params)(F.col("h")) if method == "numpy" else minhash_expression(F.col("h"), params)
-    return sets.select(*keys, make.alias("sig"))
+    if method == "numpy":
+        kinds = {f.name: f.dataType.simpleString() for f in sets.schema.fields}
+        return sets.select(*keys, "h").mapInArrow(minhash_batches(params), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sig array<bigint>")
+    return sets.select(*keys, minhash_expression(F.col("h"), params).alias("sig"))
 
 
 def buckets(sigs: DataFrame, bands: int, rows: int) -> DataFrame:

@@ -9,6 +9,7 @@ from orrery.functions.text import collapse_blanks, f1_count, f2_count, flatten_b
 from orrery.operators.runs import parse_counters, summarize_runs
 from orrery.operators.sampling import budget_prefix, nested_samples, round_robin
 from orrery.operators.transcript import fold_transcript, malformed_headers, text_lines
+from orrery.runtime import spread
 from orrery.sources.readers import FACTS_HEADER_BYTES
 from orrery.sources.tables import table
 
@@ -17,12 +18,12 @@ TARGETS = {"small": 20_000, "medium": 200_000, "large": 2_000_000}
 
 def transcript_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
-    return fold_transcript(text_lines(docs, "file", "text"))
+    return fold_transcript(text_lines(spread(docs), "file", "text"))
 
 
 def transcript_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
-    return malformed_headers(text_lines(docs, "file", "text"))
+    return malformed_headers(text_lines(spread(docs), "file", "text"))
 
 
 def sanitized_text(spark: SparkSession, sf_dir: str) -> DataFrame:

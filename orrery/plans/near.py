@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.shingles import PRIME, char_shingles, hash_params, lsh_probability, lsh_threshold, stable_hash, word_shingles
 from orrery.operators import similarity as S
-from orrery.runtime import stage
+from orrery.runtime import spread, stage
 from orrery.sources.tables import table
 
 SIZE, STRIDE, K, N, SEED, BANDS, ROWS, NEAR, KEEP = 50, 25, 3, 100, 4099, 25, 4, 0.5, 0.1
@@ -15,7 +15,7 @@ SETTINGS = ((20, 5), (25, 4), (10, 10))
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.token_windows(table(spark, sf_dir, "documents"), F.format_string("%06d", "doc_id"), "text", SIZE, STRIDE)
+    return S.token_windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), F.format_string("%06d", "doc_id"), "text", SIZE, STRIDE)
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sigs(sets: DataFrame) -> DataFrame:
-    return S.signatures(sets, N, SEED)
+    """Signatures as a stage table: both sides of the bucket join read it."""
+    return stage(S.signatures(sets, N, SEED), "window-signatures")
 
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def shingle_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sigs(_sets(spark, sf_dir)).select("window_id", F.array_join(F.transform("sig", lambda v: v.cast("string")), " ").alias("signature"))
+    return S.signatures(_sets(spark, sf_dir), N, SEED).select("window_id", F.array_join(F.transform("sig", lambda v: v.cast("string")), " ").alias("signature"))
 
 
 def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,7 @@ def jaccard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = S.numbered(_sets(spark, sf_dir))
-    return S.with_estimates(S.exact_pairs(sets, SIZE, KEEP), stage(_sigs(sets), "window-signatures"))
+    return S.with_estimates(S.exact_pairs(sets, SIZE, KEEP), _sigs(sets))
 
 
 def minhash_error_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ def minhash_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluations(spark: SparkSession, sf_dir: str, only_cross: bool) -> DataFrame:
     sets = S.numbered(_sets(spark, sf_dir))
-    truth, sigs = stage(S.exact_pairs(sets, SIZE, NEAR), "exact-pairs"), stage(_sigs(sets), "window-signatures")
+    truth, sigs = stage(S.exact_pairs(sets, SIZE, NEAR), "exact-pairs"), _sigs(sets)
     rows = [S.evaluation(S.candidate_pairs(S.buckets(sigs, b, r)), truth, sigs, SIZE, NEAR, only_cross).select(F.lit(f"b={b},r={r}").alias("setting"), "*") for b, r in SETTINGS]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 

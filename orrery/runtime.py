@@ -61,6 +61,16 @@ def release_stages() -> None:
 atexit.register(release_stages)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, repartitioned if it comes in fewer partitions than there are cores.
+
+    For CPU-heavy work on inputs of a few unsplittable files; an input of
+    many files keeps its partitions and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows, reading no more than needed."""
     return df.limit(rows + 1).count() <= rows

@@ -94,7 +94,8 @@ def test_minhash_forms_agree_and_estimate(spark):
         pool = rng.sample(range(2**32), 800 - both)
         a, b = pool[:400], pool[400 - both :]
         df = spark.createDataFrame([("a", a), ("b", b)], "i string, h array<bigint>")
-        fast = {r["i"]: list(r["s"]) for r in df.select("i", sh.minhash_udf(params)(F.col("h")).alias("s")).collect()}
+        more = df.unionByName(spark.createDataFrame([("empty", []), ("null", None)], df.schema))
+        fast = {r["i"]: list(r["sig"]) for r in more.mapInArrow(sh.minhash_batches(params), "i string, sig array<bigint>").collect()}
         plain = {k: [min((x * p + q) % sh.PRIME for x in v) for p, q in params] for k, v in (("a", a), ("b", b))}
         assert fast == plain
         same = sum(x == y for x, y in zip(fast["a"], fast["b"])) / 200
