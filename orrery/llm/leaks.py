@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.words import U64, Hasher, f2_words, mix, odd_constants
-from orrery.runtime import at_most, fresh, maybe_broadcast, stage
+from orrery.runtime import at_most, spread, stage
 
 #: Words of a run that counts as a leak.
 RUN = 12
@@ -181,7 +181,7 @@ def leaked_items(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
     are left out. Ids come back as strings.
     """
     spark = corpus.sparkSession
-    docs = corpus.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).alias("dtext")).where("doc is not null and dtext is not null")
+    docs = spread(corpus.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).alias("dtext")).where("doc is not null and dtext is not null"))
     probes = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("itext")).where("item is not null and itext is not null").distinct()
     seeds = stage(probes.mapInArrow(_item_seeds, "mask string, h long, item string, pos long"), "item-seeds")
     if at_most(seeds, broadcast_seeds):

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.runtime import spread
+
 _M, _I, _S = re.M, re.I, re.S
 
 # fixed values: the constructs of the four languages
@@ -229,10 +231,10 @@ def _cleaned(batches) -> Iterator[pa.RecordBatch]:
 
 def part_kinds(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(rid, part_kind): what each record's text holds; rows with one id count once, null ids are left out."""
-    return docs.select(F.col(doc_id).cast("string").alias("rid"), F.col(text).alias("txt")).where("rid is not null and txt is not null").mapInArrow(_kinds, "rid string, part_kind string").distinct()
+    return spread(docs.select(F.col(doc_id).cast("string").alias("rid"), F.col(text).alias("txt")).where("rid is not null and txt is not null")).mapInArrow(_kinds, "rid string, part_kind string").distinct()
 
 
 def clean_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(rid, language, part_kinds, clean), a row per distinct id; a null text stays null, an empty one empty."""
     once = docs.select(F.col(doc_id).cast("string").alias("rid"), F.col(text).alias("txt")).where("rid is not null").dropDuplicates(["rid"])
-    return once.mapInArrow(_cleaned, "rid string, language string, part_kinds array<string>, clean string")
+    return spread(once).mapInArrow(_cleaned, "rid string, language string, part_kinds array<string>, clean string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.runtime import at_most, stage
+from orrery.runtime import at_most, spread, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the word pattern that belongs to the vocabulary
@@ -110,7 +110,7 @@ def mix_sources(docs: DataFrame, doc_id: str, text: str, source: str, targets: D
     null or not positive counts as 0, a max_repeats that is null or below 1
     as 1; sources without documents are reported with 0.
     """
-    src = docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(source).alias("src"), F.col(text).alias("txt")).where("doc is not null and txt is not null and src is not null")
+    src = spread(docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(source).alias("src"), F.col(text).alias("txt")).where("doc is not null and txt is not null and src is not null"))
     wanted = {r[0]: (max(0.0, r[1] or 0.0), max(1, r[2] or 1)) for r in targets.select("source", "target_share", "max_repeats").where("source is not null").limit(10_001).collect()}
     if len(wanted) > 10_000:
         raise ValueError("more than 10,000 target sources")

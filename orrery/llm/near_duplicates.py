@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.words import U64, Hasher, f1_words, mix, odd_constants, run_sets
-from orrery.runtime import at_most, stage
+from orrery.runtime import at_most, spread, stage
 
 MINIMA, LOW_BITS = 64, 2
 RARE_BANDS = 14
@@ -348,7 +348,7 @@ def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, t
     """
     spark = records.sparkSession
     least_words = max(min_words or k, k)
-    src = records.select(F.col(record_id).cast("string").alias("rid"), F.col(text).alias("txt")).where("rid is not null")
+    src = spread(records.select(F.col(record_id).cast("string").alias("rid"), F.col(text).alias("txt")).where("rid is not null"))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or 4 * shuffle
     common = spark.sparkContext.broadcast(common_runs(src, k, least_words))
@@ -361,8 +361,8 @@ def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, t
         n = hot.groupBy("hot").agg(F.ceil(F.count("*") / (HOT_BUCKET // 2)).cast("int").alias("nb"))
         blk = hot.join(n, "hot").withColumn("blk", F.pmod(F.xxhash64("entry"), F.col("nb")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-        spread = blk.withColumn("o", other).select("hot", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("blk") == F.col("o"), 2).when(F.col("blk") < F.col("o"), 0).otherwise(1).alias("side"), "entry")
-        pairs = pairs.unionByName(spread.repartition(4 * shuffle, "hot", "i", "j").mapInArrow(partial(_block_pairs, least=least), _PAIRS).select("a", "b"))
+        halves = blk.withColumn("o", other).select("hot", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("blk") == F.col("o"), 2).when(F.col("blk") < F.col("o"), 0).otherwise(1).alias("side"), "entry")
+        pairs = pairs.unionByName(halves.repartition(4 * shuffle, "hot", "i", "j").mapInArrow(partial(_block_pairs, least=least), _PAIRS).select("a", "b"))
     members = found.where("kind = 0").select("rid", F.col("a").alias("cls"), F.col("b").alias("cls2")).distinct()
     reps = members.groupBy("cls", "cls2").agg(F.min("rid").alias("rep"))
     cand = stage(pairs.distinct(), "candidates")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.words import U64, mix
-from orrery.runtime import at_most, stage
+from orrery.runtime import at_most, spread, stage
 
 MIN_SPAN = 300
 SEGMENT = 1_000_000
@@ -284,7 +284,7 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, min_span: int = MIN_SP
     text don't count.
     """
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).alias("txt")).where("doc is not null and txt is not null")
+    src = spread(docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).alias("txt")).where("doc is not null and txt is not null"))
     marks = src.mapInArrow(partial(_anchor_rows, min_span=min_span), "doc string, cls long, n long, h long").repartition(n_parts, F.coalesce("h", "cls")).sortWithinPartitions("h", "cls", "n")
     marks = stage(marks.mapInArrow(_repeated, "doc string, cls long, n long, h long").withColumn("kind", F.col("doc").isNull().cast("int")), "anchors", by="kind")
     classes = marks.where("kind = 0").select("doc", "cls", "n").distinct()
