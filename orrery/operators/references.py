@@ -114,8 +114,8 @@ def orphan_references(refs: DataFrame, key: str, at: Column, runs: DataFrame, br
     side, small = maybe_broadcast(blocks, max(1, broadcast_rows // BLOCK_RUNS))
     on = (F.col(key) == F.col(c["key"])) & (F.coalesce(F.col(c["at"]), F.lit(_MIN - 1)) >= F.col(c["from"])) & (F.coalesce(F.col(c["at"]), F.lit(_MIN - 1)) < F.col(c["to"]))
     if not small:
-        # hot keys: references are spread over SALTS, each block is repeated as often
-        left = left.withColumn(c["salt"], F.pmod(F.xxhash64(F.col(c["at"]), F.monotonically_increasing_id()), F.lit(SALTS)))
+        # hot keys: references are spread over SALTS by their content (the same after a retry), each block is repeated as often
+        left = left.withColumn(c["salt"], F.pmod(F.xxhash64(*refs.columns), F.lit(SALTS)))
         side = side.withColumn(c["salt"] + "r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         on = on & (F.col(c["salt"]) == F.col(c["salt"] + "r"))
     run = F.element_at(F.filter(F.col(c["runs"]), lambda r: r["run_start"] <= F.col(c["at"])), -1)

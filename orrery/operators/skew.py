@@ -10,15 +10,12 @@ values of a hot key.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.runtime import maybe_broadcast, stage
 
 DIGIT_BITS = 10
-SALTS = 32
 STATE_ROWS = 100_000
 
 
@@ -64,7 +61,7 @@ def key_profiles(
     # wanted ranks: one row per key and quantile
     wanted = totals.where("n_values > 0").select("k", F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("n_values"))).cast("bigint").alias("rank")) for i, q in enumerate(quantiles)])).alias("w")).select("k", "w.qi", "w.rank")
     counts = hist.where("bin is not null").select("k", "bin", F.col("nv").alias("n"))
-    state = _resolve(wanted.withColumn("pre", F.lit(0).cast("bigint")), counts.withColumn("pre", F.lit(0).cast("bigint")), digit_bits)
+    state = _resolve(wanted.withColumn("pre", F.lit(0).cast("bigint")), counts.withColumn("pre", F.lit(0).cast("bigint")))
     for step in range(1, steps):
         shift -= digit_bits
         state = stage(state, f"key-ranks-{step}")
@@ -76,7 +73,7 @@ def key_profiles(
             counts = base.join(live.withColumnRenamed("k", "k2").withColumnRenamed("pre", "pre2"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("pre") == F.col("pre2")), "left_semi")
         else:
             counts = base.join(live.withColumnRenamed("k", "k2").withColumnRenamed("pre", "pre2"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("pre") == F.col("pre2")), "left_semi").groupBy("k", "pre", F.shiftright("v", shift).alias("bin")).agg(F.count("*").alias("n"))
-        state = _resolve(state, counts, digit_bits)
+        state = _resolve(state, counts)
     qcols = [F.max(F.when(F.col("qi") == i, F.col("pre"))).alias(f"q{round(q * 1000):03d}") for i, q in enumerate(quantiles)]
     if not quantiles:
         return totals.withColumnRenamed("k", "key")
@@ -84,11 +81,11 @@ def key_profiles(
     return totals.join(picked, F.col("k").eqNullSafe(F.col("k2")), "left").drop("k2").withColumnRenamed("k", "key")
 
 
-def _resolve(state: DataFrame, counts: DataFrame, digit_bits: int) -> DataFrame:
+def _resolve(state: DataFrame, counts: DataFrame) -> DataFrame:
     """Each wanted rank moved into the child bin that holds it.
 
-    state: k, qi, rank, pre; counts: k, pre, bin, n with at most
-    2**digit_bits bins for each (k, pre), so the window is bounded.
+    state: k, qi, rank, pre; counts: k, pre, bin, n with one bin for each
+    value of the next digit at most, so the window is bounded.
     """
     order = Window.partitionBy("k", "pre").orderBy("bin")
     cum = counts.withColumn("upto", F.sum("n").over(order)).select(F.col("k").alias("ck"), F.col("pre").alias("cp"), "bin", "upto", "n")
@@ -102,14 +99,3 @@ def hot_keys(profiles: DataFrame, share: float = 0.05) -> DataFrame:
     """The keys of key_profiles() (null left out) that hold at least ``share`` of all rows, null keys counted in the total."""
     total = profiles.agg(F.sum("n_rows").alias("total"))
     return profiles.crossJoin(F.broadcast(total)).where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("total")))
-
-
-def salted_sum(df: DataFrame, keys: list[str], aggs: dict[str, Column], salts: int = SALTS) -> DataFrame:
-    """Sums per key in two steps, the first on (key, salt): for inputs where map-side combining is off or of little use."""
-    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    part = salted.groupBy(*keys, "__salt").agg(*[F.sum(c).alias(n) for n, c in aggs.items()])
-    return part.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in aggs])
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
