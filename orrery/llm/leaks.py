@@ -185,7 +185,8 @@ def leaked_items(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
     probes = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("itext")).where("item is not null and itext is not null").distinct()
     seeds = stage(probes.mapInArrow(_item_seeds, "mask string, h long, item string, pos long"), "item-seeds")
     if at_most(seeds, broadcast_seeds):
-        texts = [(r["item"], Hasher()(f2_words(r["itext"]))) for r in probes.collect()]
+        # items without a seed can't match; those with one are no more than the seeds
+        texts = [(r["item"], Hasher()(f2_words(r["itext"]))) for r in probes.join(seeds.select("item").distinct(), "item", "left_semi").collect()]
         number: dict[str, list[int]] = {}
         for i, (name, _) in enumerate(texts):
             number.setdefault(name, []).append(i)
