@@ -55,6 +55,19 @@ def contiguous_runs(parents: DataFrame, key: str, block_bits: int = 16) -> DataF
     return local.where(~edge).select("run_start", "run_end").unionByName(merged.select("run_start", "run_end"))
 
 
+def integer_orphans(refs: DataFrame, key: str, runs: DataFrame, block_bits: int = 16) -> DataFrame:
+    """The rows of ``refs`` whose integer ``key`` lies in no run of contiguous_runs().
+
+    Runs are cut at the borders of blocks of 2**block_bits values, so that a
+    reference meets the runs of its own block only. Null keys are left out.
+    """
+    blk = fresh(refs, "__blk")
+    first, last = F.shiftleft(F.col("ref_key"), block_bits), F.shiftleft(F.col("ref_key") + 1, block_bits) - 1
+    pieces = runs.withColumn("ref_key", F.explode(F.sequence(F.shiftright("run_start", block_bits), F.shiftright("run_end", block_bits)))).select("ref_key", F.greatest("run_start", first).alias("run_start"), F.least("run_end", last).alias("run_end"))
+    placed = refs.withColumn(blk, F.shiftright(F.col(key).cast("bigint"), block_bits))
+    return orphan_references(placed, blk, F.col(key).cast("bigint"), pieces).select(*refs.columns)
+
+
 def live_runs(parents: DataFrame, key: Column, added: str, removed: str) -> DataFrame:
     """Runs (ref_key, run_start, run_end) of microseconds in which a key is live, both ends inside.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.labels import label_code, outer_blanks_off
-from orrery.operators.references import live_runs, micros, orphan_references
+from orrery.operators.references import contiguous_runs, integer_orphans, live_runs, micros, orphan_references
 from orrery.operators.skew import hot_keys, key_profiles
 from orrery.runtime import maybe_broadcast
 from orrery.sources.tables import table
@@ -45,6 +47,20 @@ def p2_orphans_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_key.groupBy("tbl", "month_key", "orphan_reason").agg(F.sum("n").alias("n_rows"), F.sum("records").alias("n_records"), F.count("*").alias("n_keys"))
 
 
+_INTEGER = (("events", "user_id", "ts", "customer", "c_custkey"), ("orders", "o_custkey", "o_orderdate", "customer", "c_custkey"), ("lineitem", "l_suppkey", "l_shipdate", "supplier", "s_suppkey"), ("lineitem", "l_orderkey", "l_shipdate", "orders", "o_orderkey"))
+
+
+def p2_integer_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references of integer keys per table, key and month: rows and distinct keys."""
+    parts = []
+    for tbl, key, at, parent, pk in _INTEGER:
+        refs = table(spark, sf_dir, tbl).select(F.col(key).cast("bigint").alias("k"), F.date_format(at, "yyyy-MM").alias("month_key"))
+        lost = integer_orphans(refs, "k", contiguous_runs(table(spark, sf_dir, parent), pk))
+        per_key = lost.groupBy("month_key", "k").agg(F.count("*").alias("n"))
+        parts.append(per_key.groupBy("month_key").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys")).select(F.lit(f"{tbl}.{key}").alias("reference"), "month_key", "n_rows", "n_keys"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _profiles(spark: SparkSession, sf_dir: str, name: str, key: str, rid: str) -> DataFrame:
     size = F.octet_length("text").cast("bigint")
     return key_profiles(table(spark, sf_dir, name), F.col(key), size, sums={"n_words": F.col("word_count"), "n_bytes": size}, latest=(F.col("ingested_at"), F.col(rid))).withColumn("tbl", F.lit(name))
@@ -64,7 +80,7 @@ def p3_key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).select("tbl", "key", "n_rows", "n_values", "n_words", "n_bytes", "latest_id", "q500", "q900", "q990")
 
 
-QUERIES = {"p2_found": p2_found, "p2_orphans_by_month": p2_orphans_by_month, "p3_found": p3_found, "p3_key_results": p3_key_results}
+QUERIES = {"p2_found": p2_found, "p2_orphans_by_month": p2_orphans_by_month, "p2_integer_orphans": p2_integer_orphans, "p3_found": p3_found, "p3_key_results": p3_key_results}
 
 _REFS = r"""
 WITH refs AS (
@@ -99,6 +115,7 @@ ORACLES = {
     + """, reasons AS (SELECT o.*, CASE WHEN NOT EXISTS (SELECT 1 FROM parents p WHERE p.tbl = o.tbl AND p.k = o.ref_key) THEN 'never'
       WHEN EXISTS (SELECT 1 FROM parents p WHERE p.tbl = o.tbl AND p.k = o.ref_key AND (p.added_at IS NULL OR p.added_at <= o.ingested_at)) THEN 'gone' ELSE 'not_yet' END AS orphan_reason FROM orphans o)
     SELECT tbl, month_key, orphan_reason, count(*) AS n_rows, count(DISTINCT (record_key, ref_key)) AS n_records, count(DISTINCT ref_key) AS n_keys FROM reasons GROUP BY ALL""",
+    "p2_integer_orphans": " UNION ALL ".join(f"SELECT '{t}.{k}' AS reference, strftime({a}, '%Y-%m') AS month_key, count(*) AS n_rows, count(DISTINCT {k}) AS n_keys FROM {t} WHERE {k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} WHERE {pk} = {k}) GROUP BY ALL" for t, k, a, p, pk in _INTEGER),
     "p3_found": _KEYED + "SELECT tbl, key AS hot_key FROM (SELECT tbl, key, count(*) AS n, sum(count(*)) OVER (PARTITION BY tbl) AS total FROM rows_ GROUP BY tbl, key) WHERE key IS NOT NULL AND n >= 0.05 * total",
     "p3_key_results": _KEYED
     + """SELECT tbl, key, count(*) AS n_rows, count(b) AS n_values, sum(word_count)::BIGINT AS n_words, sum(b)::BIGINT AS n_bytes,

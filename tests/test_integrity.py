@@ -45,6 +45,18 @@ def test_orphans_against_a_plain_loop(spark, bound, monkeypatch):
     assert {r["orphan_reason"] for r in rows if r["k"] in ("k6", "k7")} == {"never"}
 
 
+def test_integer_orphans(spark):
+    rng = random.Random(7)
+    parents = {k for k in range(-50, 900) if rng.random() < 0.9}
+    refs = [rng.randrange(-90, 1000) for _ in range(600)]
+    p = spark.createDataFrame([(k,) for k in parents], "pk int")
+    f = spark.createDataFrame([(k, k) for k in refs] + [(None, 0)], "k int, run_start int").repartition(3)
+    for bits in (4, 16):
+        got = R.integer_orphans(f, "k", R.contiguous_runs(p, "pk", bits), bits)
+        assert sorted(r["k"] for r in got.collect()) == sorted(k for k in refs if k not in parents) and got.columns == f.columns
+    assert R.integer_orphans(f, "k", R.contiguous_runs(p.limit(0), "pk")).count() == len(refs)
+
+
 def test_orphans_of_empty_tables(spark):
     p = spark.createDataFrame([], "k string, a timestamp_ntz, r timestamp_ntz")
     f = spark.createDataFrame([("x", T0)], "k string, at timestamp_ntz")

@@ -3,9 +3,10 @@ import json
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.operators.assertions import CheckFailed
-from orrery.operators.runs import StageTimer, parse_counters, summarize_runs, timed_command
+from orrery.operators.runs import StageTimer, ids_in, parse_counters, summarize_runs, timed_command
 from orrery.sources import readers as R
 from orrery.sources import sinks as K
 from orrery.sources import xmlpages as X
@@ -106,6 +107,8 @@ def test_run_records(spark, tmp_path):
     assert (row["attempts"], row["successful_attempts"]) == (2, 1) and row["median_success_seconds"] == one["elapsed_seconds"]
     logs = spark.createDataFrame([("r", 1, " Map input records = 3"), ("r", 2, "Map input records=4"), ("r", 3, "x")], "run string, n int, line string")
     assert [tuple(r) for r in parse_counters(logs, "run", "n", "line").collect()] == [("r", "map_input_records", 4)]
+    ids = logs.select(ids_in(F.lit("job_2_1 job_1_9 job_2_1"), "job").alias("i")).first()["i"]
+    assert ids == ["job_1_9", "job_2_1"]
     timer = StageTimer()
     assert timer.run("s", lambda: 3) == 3 and timer.steps[0]["step"] == "s"
 
