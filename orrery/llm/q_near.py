@@ -31,4 +31,17 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
-ORACLES: dict[str, str] = {}
+_TOKENS = "regexp_extract_all(replace(lower(any_value(text)), '’', ''''), '[a-z]+(?:''[a-z]+)*')"
+
+#: The exact join over an inverted index, all shared runs counted.
+_EXACT = " UNION ALL ".join(
+    f"""SELECT '{name}' AS tbl, key_a, key_b FROM (
+      WITH r AS (SELECT {rid} AS rid, {_TOKENS} AS w FROM {name} WHERE {rid} IS NOT NULL GROUP BY {rid}),
+      g AS MATERIALIZED (SELECT DISTINCT rid, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS g FROM r WHERE len(w) >= 12),
+      n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+      p AS (SELECT a.rid AS key_a, b.rid AS key_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL)
+      SELECT key_a, key_b FROM p JOIN n x ON x.rid = key_a JOIN n y ON y.rid = key_b WHERE c >= 0.5 * (x.n + y.n - c))"""
+    for name, rid in _TABLES
+)
+
+ORACLES = {"p4_found": _EXACT}

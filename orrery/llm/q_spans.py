@@ -45,4 +45,19 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p9_spans": p9_spans}
 
-ORACLES: dict[str, str] = {}
+_GRAMS = f"""
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= {MIN_SPAN}),
+g AS MATERIALIZED (SELECT doc_id, p, hash(substr(text, p::BIGINT, {MIN_SPAN})) AS h FROM (SELECT doc_id, text, unnest(range(1, n - {MIN_SPAN} + 2)) AS p FROM d)),
+again AS MATERIALIZED (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+s AS (SELECT doc_id, p, lag(p) OVER w AS before, lead(p) OVER w AS after FROM g SEMI JOIN again USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY p))
+"""
+
+ORACLES = {
+    "p9_found": _GRAMS + ", m AS (SELECT DISTINCT doc_id, h FROM g SEMI JOIN again USING (h)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p9_shares": _GRAMS
+    + f""", c AS (SELECT doc_id, sum(least({MIN_SPAN}, coalesce(after - p, {MIN_SPAN})))::BIGINT AS c, count(*) FILTER (before IS NULL OR p > before + {MIN_SPAN}) AS k FROM s GROUP BY doc_id)
+    SELECT doc_id, length(text) AS n_chars, coalesce(c, 0) AS shared_chars, coalesce(k, 0) AS n_spans, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text)::DOUBLE ELSE 0 END AS shared_share FROM documents LEFT JOIN c USING (doc_id) WHERE text IS NOT NULL""",
+    "p9_spans": _GRAMS
+    + f""", r AS (SELECT doc_id, p, sum((before IS NULL OR p > before + {MIN_SPAN})::INT) OVER (PARTITION BY doc_id ORDER BY p) AS grp FROM s)
+    SELECT doc_id, min(p) - 1 AS span_from, max(p) - 1 + {MIN_SPAN} AS span_to FROM r GROUP BY doc_id, grp""",
+}
