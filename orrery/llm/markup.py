@@ -236,5 +236,5 @@ def part_kinds(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(rid, language, part_kinds, clean), a row per distinct id; a null text stays null, an empty one empty."""
-    once = docs.select(F.col(doc_id).cast("string").alias("rid"), F.col(text).alias("txt")).where("rid is not null").dropDuplicates(["rid"])
-    return spread(once).mapInArrow(_cleaned, "rid string, language string, part_kinds array<string>, clean string")
+    once = spread(docs.select(F.col(doc_id).cast("string").alias("rid"), F.col(text).alias("txt")).where("rid is not null")).dropDuplicates(["rid"])
+    return once.mapInArrow(_cleaned, "rid string, language string, part_kinds array<string>, clean string")

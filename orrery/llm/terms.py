@@ -73,8 +73,8 @@ def term_frequencies(records: DataFrame, record_id: str, text: str, rare_below:
     with text); an empty table gives no rows. Partial counters are summed by
     hash of the term, so a term in every record costs a row per task.
     """
-    once = records.select(F.col(record_id).alias("rid"), F.col(text).alias("txt")).dropDuplicates(["rid"])
-    counts = spread(once.select("txt")).mapInArrow(_count, _SCHEMA).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    once = spread(records.select(F.col(record_id).alias("rid"), F.col(text).alias("txt"))).dropDuplicates(["rid"])
+    counts = once.select("txt").mapInArrow(_count, _SCHEMA).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     counts = stage(counts, "terms")
     total = counts.where("term is null").agg(F.coalesce(F.max("records"), F.lit(0)).alias("with_text"))
     verdict = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(common_above) * F.col("with_text"), "common")
