@@ -65,7 +65,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df``, repartitioned if it comes in fewer partitions than there are cores.
 
     For CPU-heavy work on inputs of a few unsplittable files; an input of
-    many files keeps its partitions and isn't shuffled.
+    many files keeps its partitions and isn't shuffled. Only for frames
+    without a shuffle of their own: counting the partitions of others would
+    run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
