@@ -192,4 +192,4 @@ def top_pairs(truth: DataFrame, windows: DataFrame, size: int, limit: int = 10)
     best = truth.where(cross()).select("file_a", "file_b", "a", "b", "start_a", "start_b", "j").groupBy("file_a", "file_b").applyInPandas(greedy, "a string, b string, j double")
     top = best.orderBy(F.desc("j"), "a", "b").limit(limit)
     one, two = (windows.select(F.col("window_id").alias(i), excerpt(F.col("tokens")).alias(f"{i}_text")) for i in "ab")
-    return one.join(F.broadcast(two.join(F.broadcast(top), "b")), "a").select("a", "b", F.round("j", 4).alias("jaccard"), "a_text", "b_text")
+    return one.join(F.broadcast(two.join(F.broadcast(top), "b")), "a").orderBy(F.desc("j"), "a", "b").select("a", "b", F.round("j", 4).alias("jaccard"), "a_text", "b_text")
