@@ -1,7 +1,8 @@
 """Evaluation texts inside a corpus, by spaced seeds.
 
 A seed is a fixed mask over a window of words; the words under its zeros are
-ignored. The masked windows of all test items are hashed and joined with
+ignored. The masks are chosen by the number of substituted words so that none
+of their places can hide a leak. The masked windows of all test items are hashed and joined with
 those of every document: a broadcast of sorted hashes while their number is
 proven small, a shuffled join beyond. Around each hit the two texts are laid
 on each other and the run of agreeing words is extended both ways, with a
@@ -23,8 +24,9 @@ from orrery.runtime import at_most, spread, stage
 
 #: Words of a run that counts as a leak.
 RUN = 12
-# fixed values: two masks over 12 words, weight 8; a run of 12 equal words matches both
-MASKS = ("110110110110", "111011001101")
+# fixed values: the seeds of a family reach every stretch with RUN equal words and so many substitutions, wherever these stand (enumerated in the tests)
+MASKS = ("1" * RUN, "1101110111", "11101111", "1110010111")
+FAMILIES = {0: MASKS[:1], 1: MASKS[1:2], 2: MASKS[2:]}
 #: Masked windows of items up to which they are broadcast (24 bytes each).
 BROADCAST_SEEDS = 1_000_000
 BATCH_WORDS = 300_000
@@ -42,18 +44,27 @@ def masked(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mix(h + U64(int(mask, 2)))
 
 
-def _masks_for(n_words: int) -> tuple[str, ...]:
-    """The masks cut to an item of fewer words than a mask has."""
-    return tuple(dict.fromkeys(m[: min(n_words, RUN)] for m in MASKS)) if n_words else ()
+def family(substitutions: int) -> tuple[str, ...]:
+    """Masks of which one at least fits into any stretch of RUN equal words and ``substitutions`` others.
+
+    Beyond the enumerated families it is one block: RUN words in
+    substitutions + 1 parts leave a part of so many equal words.
+    """
+    return FAMILIES.get(substitutions) or ("1" * -(-RUN // (substitutions + 1)),)
+
+
+def _masks_for(n_words: int, substitutions: int) -> tuple[str, ...]:
+    """The family of masks, or all words of an item of fewer than RUN, which must stand there unchanged."""
+    return family(substitutions) if n_words >= RUN else ("1" * n_words,) if n_words else ()
 
 
-def _item_seeds(batches) -> Iterator[pa.RecordBatch]:
+def _item_seeds(batches, substitutions: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for b in batches:
         rows = [[], [], [], []]
         for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             t = hasher(f2_words(text))
-            for mask in _masks_for(len(t)):
+            for mask in _masks_for(len(t), substitutions):
                 h = masked(t, mask)
                 rows[0] += [mask] * len(h)
                 rows[1] += h.view(np.int64).tolist()
@@ -183,7 +194,7 @@ def leaked_items(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
     spark = corpus.sparkSession
     docs = spread(corpus.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).alias("dtext")).where("doc is not null and dtext is not null"))
     probes = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("itext")).where("item is not null and itext is not null").distinct()
-    seeds = stage(probes.mapInArrow(_item_seeds, "mask string, h long, item string, pos long"), "item-seeds")
+    seeds = stage(probes.mapInArrow(partial(_item_seeds, substitutions=substitutions), "mask string, h long, item string, pos long"), "item-seeds")
     if at_most(seeds, broadcast_seeds):
         # items without a seed can't match; those with one are no more than the seeds
         texts = [(r["item"], Hasher()(f2_words(r["itext"]))) for r in probes.join(seeds.select("item").distinct(), "item", "left_semi").collect()]
@@ -200,7 +211,7 @@ def leaked_items(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
             tables[mask] = (h[order], i[order], p[order])
         found = docs.mapInArrow(partial(_scan, seeds=spark.sparkContext.broadcast((tables, texts)), substitutions=substitutions), _OUT)
     else:
-        masks = [r["mask"] for r in seeds.select("mask").distinct().collect()]  # at most a few per word count up to RUN
+        masks = [r["mask"] for r in seeds.select("mask").distinct().collect()]  # the family and one per word count below RUN
         hits = docs.mapInArrow(partial(_doc_seeds, masks=masks), "mask string, h long, doc string, dpos long").join(seeds, ["mask", "h"])
         # a diagonal needs one hit only: pre-aggregation bounds the hits of a pair by its diagonals
         hits = hits.groupBy("doc", "item", (F.col("dpos") - F.col("pos")).alias("shift"), F.floor(F.col("pos") / RUN).alias("part")).agg(F.min(F.struct("pos", "dpos")).alias("one")).groupBy("doc", "item").agg(F.collect_list(F.struct(F.col("one.dpos").alias("dpos"), F.col("one.pos").alias("pos"))).alias("hits"))

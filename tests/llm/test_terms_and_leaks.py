@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,41 @@ def test_leak_with_substitutions(spark):
     assert [(r["doc"], r["words"], r["substitutions"]) for r in rows] == [("1", 16, 1)]
 
 
+@pytest.mark.parametrize("substitutions", [0, 1, 2, 3, 5])
+def test_seeds_reach_every_placement(substitutions):
+    seeds = [(m, [i for i, bit in enumerate(m) if bit == "1"]) for m in leaks.family(substitutions)]
+    for n in range(leaks.RUN, leaks.RUN + substitutions + 3):
+        for changed in map(set, combinations(range(n), min(substitutions, n - leaks.RUN))):
+            assert any(changed.isdisjoint(at + i for i in ones) for m, ones in seeds for at in range(n - len(m) + 1)), changed
+
+
+def stretch(doc, item, substitutions):
+    """Whether RUN equal words of the item, or all of a shorter one, stand in the document with so many others between them."""
+    d, i = f2_words(doc), f2_words(item)
+    if not set(d) & set(i):
+        return False
+    for shift in range(-len(i), len(d)):
+        equal = [0 <= k + shift < len(d) and d[k + shift] == w for k, w in enumerate(i)]
+        for a in range(len(i)):
+            run = equal[a : a + min(leaks.RUN, len(i)) + substitutions]
+            if any(sum(run[:z]) >= min(leaks.RUN, len(i)) and run[:z].count(False) <= substitutions for z in range(1, len(run) + 1)):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("substitutions", [1, 2, 3])
+def test_substitutions_at_every_place(spark, substitutions):
+    sizes = (5, 11, 12, 13, 14, 15, 17, 20)
+    items = [(f"i{n}", " ".join(f"k{n}x{i}" for i in range(n))) for n in sizes]
+    docs = []
+    for (_, text), n in zip(items, sizes):
+        for places in [c for s in range(min(substitutions, 2) + 1) for c in combinations(range(n), s)] + [(3, 7, 9), (2, 6, 10), (1, 2, 3)]:
+            docs.append((len(docs), "a b c " + " ".join("other" if i in places else w for i, w in enumerate(text.split())) + " d e"))
+    df, it = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i string, t string")
+    got = {(int(r["doc"]), r["item"]) for r in leaks.leaked_items(df, "d", "t", it, "i", "t", substitutions).collect()}
+    assert got == {(d, i) for d, t in docs for i, x in items if stretch(t, x, substitutions)}
+
+
 def test_word_rules():
     assert f1_words("YOU’RE it's a-b") == ["you're", "it's", "a", "b"] and f1_words(None) == []
     assert f2_words("Don’t_STOP Ünïcode 12") == ["don’t", "stop", "ünïcode", "12"]
