@@ -4,9 +4,9 @@ A seed is a fixed mask over a window of words; the words under its zeros are
 ignored. The masks are chosen by the number of substituted words so that none
 of their places can hide a leak. The masked windows of all test items are hashed and joined with
 those of every document: a broadcast of sorted hashes while their number is
-proven small, a shuffled join beyond. Around each hit the two texts are laid
-on each other and the run of agreeing words is extended both ways, with a
-budget of substituted words.
+proven small, a shuffled join beyond. A hit names a diagonal: the two texts are
+laid on each other there, over the whole length of the item, and the best
+stretch of agreeing words is found, with a budget of substituted words.
 """
 
 from __future__ import annotations
@@ -73,37 +73,30 @@ def _item_seeds(batches, substitutions: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64())], names=["mask", "h", "item", "pos"])
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int, at: int, substitutions: int) -> tuple[int, int]:
-    """(words, substitutions) of the longest agreeing stretch around ``at`` with item[i] laid on doc[i + shift].
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, substitutions: int) -> tuple[int, int]:
+    """(words, substitutions) of the agreeing stretch with most equal words, item[i] laid on doc[i + shift].
 
-    At most ``substitutions`` unequal words lie inside the stretch; it begins and ends with equal words.
+    At most ``substitutions`` unequal words lie inside the stretch, no more
+    than it needs; it begins and ends with equal words.
     """
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     if hi <= lo:
         return 0, 0
     bad = np.flatnonzero(item[lo:hi] != doc[lo + shift : hi + shift]) + lo
     cuts = np.concatenate([[lo - 1], bad, [hi]])
-    best = (0, 0)
-    for i in range(len(cuts) - 1):
-        for s in range(min(substitutions, len(cuts) - 2 - i) + 1):
-            a, z = cuts[i] + 1, cuts[i + s + 1]
-            if a <= at < z and z - a > best[0]:
-                best = (int(z - a), s)
-    return best
+    # words between cuts s + 1 apart, without the s unequal ones; of equally many, those with the least s
+    equal, s = max((int((cuts[s + 1 :] - cuts[: -s - 1]).max()) - 1 - s, -s) for s in range(min(substitutions, len(bad)) + 1))
+    return (equal - s, -s) if equal > 0 else (0, 0)
 
 
 def _needed(n_item: int) -> int:
     return min(RUN, n_item)
 
 
-def _verify(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], substitutions: int) -> tuple[int, int] | None:
-    """The best overlap of at least _needed() words among hits (doc position, item position), each diagonal once."""
-    best = None
-    for shift, at in {d - i: i for d, i in hits}.items():
-        got = max((overlap(doc, item, shift, a, substitutions) for a in {i for d, i in hits if d - i == shift}), key=lambda o: (o[0] - o[1], o[0]))
-        if got[0] - got[1] >= _needed(len(item)) and (best is None or (got[0] - got[1], got[0]) > (best[0] - best[1], best[0])):
-            best = got
-    return best
+def _verify(doc: np.ndarray, item: np.ndarray, shifts, substitutions: int) -> tuple[int, int] | None:
+    """The best overlap of at least _needed() equal words on the diagonals that were hit, each compared whole."""
+    words, subs = max((overlap(doc, item, s, substitutions) for s in set(shifts)), key=lambda o: (o[0] - o[1], o[0]))
+    return (words, subs) if words - subs >= _needed(len(item)) else None
 
 
 _OUT = "doc string, item string, words long, substitutions long"
@@ -124,7 +117,7 @@ def _scan(batches, seeds, substitutions: int) -> Iterator[pa.RecordBatch]:
         tokens = hasher(words)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         doc_of = np.repeat(np.arange(len(sizes)), sizes)
-        hits: dict[tuple[int, int], list] = {}
+        hits: dict[tuple[int, int], set] = {}
         for mask, (hashes, which, pos) in tables.items():
             h = masked(tokens, mask)
             if not len(h):
@@ -135,7 +128,7 @@ def _scan(batches, seeds, substitutions: int) -> Iterator[pa.RecordBatch]:
             for p in np.flatnonzero((hashes[at] == h) & inside):
                 d, k = int(doc_of[p]), int(at[p])
                 while k < len(hashes) and hashes[k] == h[p]:
-                    hits.setdefault((d, int(which[k])), []).append((int(p - starts[d]), int(pos[k])))
+                    hits.setdefault((d, int(which[k])), set()).add(int(p - starts[d] - pos[k]))
                     k += 1
         rows = []
         for (d, i), found in hits.items():
@@ -175,7 +168,7 @@ def _check_pairs(batches, substitutions: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for r in b.to_pylist():
-            got = _verify(hasher(f2_words(r["dtext"])), hasher(f2_words(r["itext"])), [(h["dpos"], h["pos"]) for h in r["hits"]], substitutions)
+            got = _verify(hasher(f2_words(r["dtext"])), hasher(f2_words(r["itext"])), r["shifts"], substitutions)
             if got:
                 rows.append((r["doc"], r["item"], *got))
         yield _out(rows)
@@ -213,7 +206,7 @@ def leaked_items(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
     else:
         masks = [r["mask"] for r in seeds.select("mask").distinct().collect()]  # the family and one per word count below RUN
         hits = docs.mapInArrow(partial(_doc_seeds, masks=masks), "mask string, h long, doc string, dpos long").join(seeds, ["mask", "h"])
-        # a diagonal needs one hit only: pre-aggregation bounds the hits of a pair by its diagonals
-        hits = hits.groupBy("doc", "item", (F.col("dpos") - F.col("pos")).alias("shift"), F.floor(F.col("pos") / RUN).alias("part")).agg(F.min(F.struct("pos", "dpos")).alias("one")).groupBy("doc", "item").agg(F.collect_list(F.struct(F.col("one.dpos").alias("dpos"), F.col("one.pos").alias("pos"))).alias("hits"))
+        # a diagonal is verified whole: any hit names it, and a pair has no more of them than words
+        hits = hits.select("doc", "item", (F.col("dpos") - F.col("pos")).alias("shift")).distinct().groupBy("doc", "item").agg(F.collect_list("shift").alias("shifts"))
         found = hits.join(docs, "doc").join(probes, "item").mapInArrow(partial(_check_pairs, substitutions=substitutions), _OUT)
     return found.groupBy("doc", "item").agg(F.max(F.struct("words", "substitutions")).alias("b")).select("doc", "item", "b.words", "b.substitutions")

@@ -94,8 +94,9 @@ def stretch(doc, item, substitutions):
     return False
 
 
+@pytest.mark.parametrize("bound", [leaks.BROADCAST_SEEDS, 0])
 @pytest.mark.parametrize("substitutions", [1, 2, 3])
-def test_substitutions_at_every_place(spark, substitutions):
+def test_substitutions_at_every_place(spark, substitutions, bound):
     sizes = (5, 11, 12, 13, 14, 15, 17, 20)
     items = [(f"i{n}", " ".join(f"k{n}x{i}" for i in range(n))) for n in sizes]
     docs = []
@@ -103,10 +104,32 @@ def test_substitutions_at_every_place(spark, substitutions):
         for places in [c for s in range(min(substitutions, 2) + 1) for c in combinations(range(n), s)] + [(3, 7, 9), (2, 6, 10), (1, 2, 3)]:
             docs.append((len(docs), "a b c " + " ".join("other" if i in places else w for i, w in enumerate(text.split())) + " d e"))
     df, it = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i string, t string")
-    got = {(int(r["doc"]), r["item"]) for r in leaks.leaked_items(df, "d", "t", it, "i", "t", substitutions).collect()}
+    got = {(int(r["doc"]), r["item"]) for r in leaks.leaked_items(df, "d", "t", it, "i", "t", substitutions, bound).collect()}
     assert got == {(d, i) for d, t in docs for i, x in items if stretch(t, x, substitutions)}
 
 
+@pytest.mark.parametrize("substitutions", [0, 1, 2])
+def test_shuffled_path_finds_the_same(spark, substitutions):
+    items = [(f"i{n}", " ".join(f"k{n}x{i}" for i in range(n))) for n in range(13, 25)]
+    texts = [t.split() for _, t in items]
+    docs = [w[:c] + ["other"] + w[c + 1 :] for w in texts for c in range(len(w))]
+    # with words 3, 4 and 6 changed the hit at 0 doesn't tell of the run from 7 on
+    docs += [["other" if i in c else x for i, x in enumerate(texts[6])] for c in combinations(range(12), 3)]
+    docs += [w[4:17] for w in texts] + [w[:9] + ["x"] * 3 + w for w in texts]
+    df = spark.createDataFrame([(d, " ".join(["a", "b", *w, "z", "z", "z"])) for d, w in enumerate(docs)], "d long, t string")
+    it = spark.createDataFrame(items, "i string, t string")
+    rows = [sorted(map(tuple, leaks.leaked_items(df, "d", "t", it, "i", "t", substitutions, bound).collect())) for bound in (leaks.BROADCAST_SEEDS, 0)]
+    assert rows[0] == rows[1]
+    assert {(int(d), i) for d, i, _, _ in rows[1]} == {(d, i) for d, w in enumerate(docs) for i, x in items if stretch(" ".join(w), x, substitutions)}
+    assert {tuple(r[2:]) for r in rows[1] if int(r[0]) >= len(docs) - len(items)} == {(n, 0) for n in range(13, 25)}
+
+
+def test_overlap_ends_with_equal_words():
+    a = leaks.Hasher()([f"w{i}" for i in range(16)])
+    b = leaks.Hasher()([f"w{i}" for i in range(14)] + ["x", "y"])
+    assert leaks.overlap(b, a, 0, 2) == (14, 0) and leaks.overlap(b, a, 5, 2) == (0, 0)
+
+
 def test_word_rules():
     assert f1_words("YOU’RE it's a-b") == ["you're", "it's", "a", "b"] and f1_words(None) == []
     assert f2_words("Don’t_STOP Ünïcode 12") == ["don’t", "stop", "ünïcode", "12"]
