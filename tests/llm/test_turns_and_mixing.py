@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,28 @@ def test_model_tells_speakers_by_their_words(spark):
     assert len(rec_ids) == 600 and sum(found[u] == truth[u] for u in held) >= 0.95 * len(held)
 
 
+def test_rare_speakers_are_states_too(spark):
+    names = [f"S{i:03d}" for i in range(130)]
+    rows = []
+    for i, who in enumerate(names):
+        for who in [who] * (3 if i < 120 else 2) + [None, who]:
+            rows.append(("s", f"s-{len(rows) + 1:06d}", None, who, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 6, None, None))
+    rec = T.ordered_records(spark.createDataFrame(rows, UTTERANCES), spark.createDataFrame([], SPEAKERS), True)
+    model = T.fit_model(rec)
+    assert {(t["code"], t["n"]) for t in T.speaker_turns(rec, model).collect()} == {(w, 5 if i < 120 else 4) for i, w in enumerate(names)}
+    # the same as with all counts written out
+    k = len(names)
+    words, trans = np.full((k, 1 << T.PROFILE_BITS), 0.5), np.full((k, k), 0.1)
+    np.add.at(words, (model.words[1], model.words[0]), model.words[2])
+    np.add.at(trans, (model.trans[0], model.trans[1]), model.trans[2])
+    words, trans = np.log(words / words.sum(axis=1, keepdims=True)), np.log(trans / trans.sum(axis=1, keepdims=True))
+    slots = (model.hasher(T.f1_words("wordaa wordaa none")) >> np.uint64(64 - T.PROFILE_BITS)).astype(np.int64)
+    assert np.allclose(model.emission("wordaa wordaa none"), words[:, slots].sum(axis=1))
+    score = np.random.default_rng(1).normal(size=k)
+    best, before = model._step(score)
+    assert np.allclose(best, (score[:, None] + trans).max(axis=0)) and (before == (score[:, None] + trans).argmax(axis=0)).all()
+
+
 def test_min_cost_flow():
     arcs = [("s", "a", 5, 0), ("s", "a", 5, 1), ("s", "b", 4, 0), ("a", "x", 10, 0), ("b", "x", 4, 0), ("b", "y", 4, 0), ("x", "t", 8, 0), ("y", "t", 3, 0)]
     flow = M.min_cost_flow(arcs, "s", "t")
