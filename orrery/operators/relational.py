@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.assertions import CheckFailed, assert_not_empty, assert_unique
-from orrery.runtime import maybe_broadcast
+from orrery.runtime import fresh, maybe_broadcast
 
 
 def word_count(words: Column, df: DataFrame) -> DataFrame:
@@ -26,14 +26,23 @@ def natural_join(facts: DataFrame, dims: DataFrame, key: str) -> DataFrame:
     return facts.join(side, key)
 
 
-def strict_lookup_join(facts: DataFrame, dims: DataFrame, key: str) -> DataFrame:
-    """Every fact must find its dimension row: an unknown or null key raises before the main plan runs."""
+def strict_lookup_join(facts: DataFrame, dims: DataFrame, key: str, before: bool = True) -> DataFrame:
+    """Every fact must find its dimension row; an unknown or null key is an error.
+
+    With ``before`` it is raised here, by a scan of the key column alone. Without,
+    the job that reads the result stops, in its own single pass: the
+    check is a filter over a left join, so no pruning of columns removes it.
+    """
     assert_unique(assert_not_empty(dims, "dimension table"), key)
-    side, _ = maybe_broadcast(dims)
-    unknown = facts.join(side, key, "left_anti").select(key).limit(3).collect()
-    if unknown:
-        raise CheckFailed(f"unknown dimension key: {[r[0] for r in unknown]}")
-    return facts.join(side, key)
+    mark = fresh(facts, fresh(dims, "__known"))
+    side, _ = maybe_broadcast(dims.withColumn(mark, F.lit(True)))
+    if before:
+        unknown = facts.select(key).join(side, key, "left_anti").limit(3).collect()
+        if unknown:
+            raise CheckFailed(f"unknown dimension key: {[r[0] for r in unknown]}")
+        return facts.join(side, key).drop(mark)
+    stop = F.raise_error(F.concat(F.lit("unknown dimension key: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return facts.join(side, key, "left").where(F.when(F.col(mark), True).otherwise(stop)).drop(mark)
 
 
 def unmatched(facts: DataFrame, dims: DataFrame, key: str) -> DataFrame:

@@ -7,10 +7,10 @@ the shingle hashes ``h``. Pairs are (a, b, ...) with a < b by window id.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.shingles import band_keys, estimate, hash_params, lsh_probability, minhash_batches, minhash_expression, permuted, stable_hash
+from orrery.functions.shingles import band_keys, estimate, hash_params, jaccard, lsh_probability, minhash_batches, minhash_expression, permuted, stable_hash
 from orrery.functions.text import excerpt, f1_words
 from orrery.runtime import stage
 
@@ -129,6 +129,14 @@ def error_summary(estimated: DataFrame, n: int) -> DataFrame:
     return estimated.agg(F.count("*").alias("pairs"), F.round(F.avg(F.abs(e)), 4).alias("mean_abs_error"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.lit(n**-0.5), 4).alias("one_over_sqrt_n"), F.round(within, 4).alias("within_one_over_sqrt_n"))
 
 
+def with_exact(cands: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates (a, b) with their exact similarity ``j``: from ``kept`` where it has the pair, else computed from the sets."""
+    left = cands.select("a", "b").join(kept.select("a", "b", "j"), ["a", "b"], "left")
+    known, below = left.where("j is not null"), left.where("j is null").select("a", "b")
+    one, two = (sets.select(F.col("window_id").alias(i), F.col("h").alias(f"h_{i}")) for i in "ab")
+    return known.unionByName(below.join(one, "a").join(two, "b").select("a", "b", jaccard(F.col("h_a"), F.col("h_b")).alias("j")))
+
+
 def evaluation(cands: DataFrame, truth: DataFrame, sigs: DataFrame, size: int, threshold: float, only_cross: bool) -> DataFrame:
     """Recall and precision of non-trivial candidates, plain and verified by estimate; null on empty denominators.
 
@@ -173,7 +181,10 @@ def top_pairs(truth: DataFrame, windows: DataFrame, size: int, limit: int = 10)
 
     The greedy choice is local to two files: a pair is only ever set aside
     for a better pair of the same two files. Pairs are thus chosen per pair
-    of files, then cut to ``limit`` overall; ties go by (a, b).
+    of files, then cut to ``limit`` overall; ties go by (a, b). A taken pair
+    can set aside no more than the (2 * size - 1)**2 pairs of starts around
+    it, so that ``limit`` times as many of the best are all that two files
+    need to hand over.
     """
 
     def greedy(g: pd.DataFrame) -> pd.DataFrame:
@@ -189,7 +200,9 @@ def top_pairs(truth: DataFrame, windows: DataFrame, size: int, limit: int = 10)
     fronts = truth.where(cross()).groupBy("file_a", "file_b").agg(F.min(rank).alias("r")).orderBy("r").limit(limit).agg(F.count("*").alias("n"), F.max("r").alias("r")).first()
     if fronts["n"] == limit:
         truth = truth.where(rank <= F.struct(F.lit(fronts["r"]["s"]).alias("s"), F.lit(fronts["r"]["a"]).alias("a"), F.lit(fronts["r"]["b"]).alias("b")))
-    best = truth.where(cross()).select("file_a", "file_b", "a", "b", "start_a", "start_b", "j").groupBy("file_a", "file_b").applyInPandas(greedy, "a string, b string, j double")
+    within = Window.partitionBy("file_a", "file_b").orderBy(F.desc("j"), "a", "b")
+    near = truth.where(cross()).select("file_a", "file_b", "a", "b", "start_a", "start_b", "j", F.row_number().over(within).alias("rn")).where(F.col("rn") <= limit * (2 * size - 1) ** 2).drop("rn")
+    best = near.groupBy("file_a", "file_b").applyInPandas(greedy, "a string, b string, j double")
     top = best.orderBy(F.desc("j"), "a", "b").limit(limit)
     one, two = (windows.select(F.col("window_id").alias(i), excerpt(F.col("tokens")).alias(f"{i}_text")) for i in "ab")
     return one.join(F.broadcast(two.join(F.broadcast(top), "b")), "a").orderBy(F.desc("j"), "a", "b").select("a", "b", F.round("j", 4).alias("jaccard"), "a_text", "b_text")

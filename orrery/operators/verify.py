@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.assertions import CheckFailed
+from orrery.runtime import at_most
+
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two frames hold the same rows equally often, in any order."""
@@ -17,9 +20,21 @@ def as_lines(df: DataFrame) -> Column:
     return F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
 
 
-def digest_of_lines(df: DataFrame) -> DataFrame:
-    """(n_rows, sha256) of the sorted lines, each ended by a newline. For results of report size: the lines meet in one row."""
-    return df.select(as_lines(df).alias("line")).agg(F.count("*").alias("n_rows"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.when(F.count("*") > 0, "\n").otherwise("")), 256).alias("sha256"))
+#: Lines that may meet in one row to be digested in order.
+DIGEST_LINES = 1_000_000
+
+
+def digest_of_lines(df: DataFrame, most: int = DIGEST_LINES) -> DataFrame:
+    """(n_rows, sha256) of the sorted lines, each ended by a newline.
+
+    A digest of lines in order can't be split, so this is for results of
+    report size: more than ``most`` lines stop the job before they are
+    gathered. row_fingerprint() is for results of any size.
+    """
+    lines = df.select(as_lines(df).alias("line"))
+    if not at_most(lines, most):
+        raise CheckFailed(f"more than {most} lines to digest; use row_fingerprint")
+    return lines.agg(F.count("*").alias("n_rows"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.when(F.count("*") > 0, "\n").otherwise("")), 256).alias("sha256"))
 
 
 def row_fingerprint(df: DataFrame) -> DataFrame:

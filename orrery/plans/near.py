@@ -144,10 +144,17 @@ def top_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_pairs(stage(_truth(spark, sf_dir), "exact-pairs"), _windows(spark, sf_dir), SIZE)
 
 
+def lsh_candidates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate that isn't trivial with its exact similarity, computed where it lies below the kept floor."""
+    sets = stage(_sets(spark, sf_dir), "window-sets")
+    cands = S.candidate_pairs(S.buckets(_sigs(sets), BANDS, ROWS)).where(~S.trivial(SIZE))
+    return S.with_exact(cands, S.exact_pairs(sets, SIZE, NEAR), sets)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        token_windows, word_shingle_windows, char_shingle_windows, shingle_crc32, minhash_signatures, lsh_buckets, lsh_pair_bands, lsh_candidates, lsh_candidates_cross, exact_jaccard_pairs, jaccard_histogram,
+        lsh_candidates_exact, token_windows, word_shingle_windows, char_shingle_windows, shingle_crc32, minhash_signatures, lsh_buckets, lsh_pair_bands, lsh_candidates, lsh_candidates_cross, exact_jaccard_pairs, jaccard_histogram,
         minhash_error_bins, minhash_error_summary, lsh_evaluation, lsh_evaluation_cross, s_curve_measured, s_curve_theory, coverage_words, windows_per_doc, top_near_duplicates,
     )
 }
@@ -219,7 +226,20 @@ def _eval(only_cross: bool) -> str:
 _BASE = _WIN + _SH + _HASHED
 _CAND = _BASE + _SIG + _tidy(_cands(BANDS, ROWS, "m"))
 
+# the greedy choice, a pair a step: the best one left that doesn't overlap a taken pair of the same files on both sides
+_TOP = f"""
+ranked AS MATERIALIZED (SELECT a, b, file_a, file_b, start_a, start_b, j, row_number() OVER (ORDER BY j DESC, a, b) AS rn FROM truth WHERE file_a <> file_b AND j >= 0.1),
+pick AS (SELECT 0 AS n, 0::BIGINT AS last, []::STRUCT(fa VARCHAR, fb VARCHAR, x BIGINT, y BIGINT, rn BIGINT)[] AS taken
+  UNION ALL SELECT n + 1, min(c.rn), list_append(taken, arg_min({{'fa': c.file_a, 'fb': c.file_b, 'x': c.start_a::BIGINT, 'y': c.start_b::BIGINT, 'rn': c.rn}}, c.rn)) FROM pick JOIN ranked c ON c.rn > pick.last
+  WHERE n < 10 AND len(list_filter(taken, lambda t: t.fa = c.file_a AND t.fb = c.file_b AND abs(t.x - c.start_a) < {SIZE} AND abs(t.y - c.start_b) < {SIZE})) = 0 GROUP BY n, taken),
+best AS (SELECT unnest(arg_max(taken, n)).rn AS rn FROM pick),
+ex AS (SELECT window_id, array_to_string(tokens[1:14], ' ') || CASE WHEN len(tokens) > 14 THEN ' ...' ELSE '' END AS t FROM win)
+SELECT a, b, round(j, 4) AS jaccard, x.t AS a_text, y.t AS b_text FROM best JOIN ranked USING (rn) JOIN ex x ON x.window_id = a JOIN ex y ON y.window_id = b
+"""
+
 ORACLES = {
+    "lsh_candidates_exact": _BASE + _SIG + _TRUTH + _tidy(_cands(BANDS, ROWS, "m")) + "SELECT c.a, c.b, coalesce(j, 0) AS j FROM cand_m c LEFT JOIN truth t ON c.a = t.a AND c.b = t.b WHERE NOT trivial",
+    "top_near_duplicates": (_BASE + _TRUTH + _TOP).replace("WITH docs", "WITH RECURSIVE docs", 1),
     "token_windows": _tidy(_WIN) + "SELECT window_id, file, start::INT AS start, array_to_string(tokens, ' ') AS tokens FROM win",
     "word_shingle_windows": _tidy(_WIN + _SH) + "SELECT shingle, count(*) AS windows FROM sh GROUP BY 1",
     "char_shingle_windows": _tidy(_WIN) + "SELECT shingle, count(*) AS windows FROM (SELECT DISTINCT window_id, unnest(list_transform(range(1, length(x) - 7), lambda i: substr(x, i, 9))) AS shingle FROM (SELECT window_id, array_to_string(tokens, ' ') AS x FROM win) WHERE length(x) >= 9) GROUP BY 1",

@@ -61,14 +61,14 @@ def star_agg_customer_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two strict lookups: every customer has a nation, every nation a region."""
     nation = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
     region = table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
-    joined = strict_lookup_join(strict_lookup_join(table(spark, sf_dir, "customer"), nation, "c_nationkey"), region, "n_regionkey")
+    joined = strict_lookup_join(strict_lookup_join(table(spark, sf_dir, "customer"), nation, "c_nationkey", before=False), region, "n_regionkey", before=False)
     return joined.groupBy(F.col("r_name").alias("category")).agg(F.count("*").alias("count"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
 def star_agg_lineitem_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A strict lookup of a growing dimension: the join strategy follows its checked size."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    joined = strict_lookup_join(table(spark, sf_dir, "lineitem"), part, "l_partkey")
+    joined = strict_lookup_join(table(spark, sf_dir, "lineitem"), part, "l_partkey", before=False)
     return joined.groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("count"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
 
 

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; the callers keep such rows under ~100 bytes.
+#: Rows and bytes (as JSON) up to which a side may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 _stages: list[tuple[SparkSession, str]] = []
 
@@ -32,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that doesn't exist yet; it goes with the stage tables."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _stages.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
@@ -40,8 +48,7 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     with release_stages().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _stages.append((spark, path))
+    path = scratch(spark, name)
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -78,9 +85,10 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if its row count proves it small, and whether it is."""
-    small = at_most(df, rows)
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` with a broadcast hint if its rows and their bytes prove it small, and whether it is."""
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    small = got["n"] <= rows and (got["b"] or 0) <= size
     return (F.broadcast(df) if small else df), small
 
 

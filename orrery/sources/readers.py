@@ -26,8 +26,8 @@ def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_quoted(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """A tab-separated relation with CSV quoting; a row of another arity or type stops the job."""
-    return spark.read.csv(path, sep="\t", header=header, quote='"', escape='"', multiLine=True, schema=schema, mode="FAILFAST", enforceSchema=False)
+    """A tab-separated relation with CSV quoting; a row of another arity or type stops the job. A bare empty field is null, a quoted one empty."""
+    return spark.read.csv(path, sep="\t", header=header, quote='"', escape='"', multiLine=True, schema=schema, mode="FAILFAST", enforceSchema=False, nullValue="\x00")
 
 
 def read_raw_facts(spark: SparkSession, path: str, schema: str = FACTS) -> DataFrame:

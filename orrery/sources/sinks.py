@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.assertions import CheckFailed
@@ -13,7 +13,7 @@ from orrery.operators.assertions import CheckFailed
 
 def write_quoted(df: DataFrame, path: str, header: bool = True) -> None:
     """Tab-separated with CSV quoting where a value needs it."""
-    df.write.mode("errorifexists").csv(path, sep="\t", header=header, quote='"', escape='"')
+    df.write.mode("errorifexists").csv(path, sep="\t", header=header, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_raw(df: DataFrame, path: str) -> None:
@@ -23,18 +23,38 @@ def write_raw(df: DataFrame, path: str) -> None:
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """Comma-separated with a header."""
-    df.coalesce(1).write.mode("errorifexists").csv(path, header=True)
+    """Comma-separated with a header, a part file per partition: a summary is small by its making, not by a gathering here."""
+    df.write.mode("errorifexists").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_report(row: dict, path: str) -> None:
-    """One JSON object (a manifest, report or record), written beside and renamed."""
-    target = Path(path)
-    if target.exists():
+    """One JSON object (a manifest, report or record), written beside and renamed.
+
+    With a session the path may be on any file system it knows; without one
+    it is a local path.
+    """
+    text = (json.dumps(row, indent=2, ensure_ascii=False) + "\n").encode("utf-8")
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        target = Path(path)
+        if target.exists():
+            raise FileExistsError(path)
+        part = target.with_name(target.name + ".part")
+        part.write_bytes(text)
+        part.rename(target)
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, part = hadoop.Path(path), hadoop.Path(path + ".part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(path)
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text))
+    finally:
+        out.close()
+    if not fs.rename(part, target):
         raise FileExistsError(path)
-    part = target.with_name(target.name + ".part")
-    part.write_text(json.dumps(row, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
-    part.rename(target)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -46,11 +66,16 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, **counters: Column) -> dict[str, int]:
+    """Write Parquet and evaluate counters (aggregates) in the same pass."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in counters.items()]).write.mode("errorifexists").parquet(path)
+    return dict(seen.get)
+
+
 def write_counted(df: DataFrame, path: str, expected: int | None = None) -> int:
     """Write Parquet and count in the same pass; another count than expected is an error."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
-    n = seen.get["n"]
+    n = write_observed(df, path, n=F.count(F.lit(1)))["n"]
     if expected is not None and n != expected:
         raise CheckFailed(f"{n} rows written to {path}, expected {expected}")
     return n

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions.text import f2_count, flatten_breaks, utf8_bytes
 from orrery.operators.assertions import assert_dependency, assert_not_empty
 
-_PAGE = "id string, ns string, revision struct<text:struct<_VALUE:string>>"
-_PAGE_PLAIN = "id string, ns string, revision struct<text:string>"
+_PAGE = "id string, ns string, revision struct<text:string>"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +18,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     there with well_formed false; a missing text is ''. Broken XML stops the
     job, and so does a dump without a page.
     """
-    raw = spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", True).option("mode", "FAILFAST").schema(_PAGE_PLAIN).load(path)
+    raw = spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", True).option("ignoreSurroundingSpaces", False).option("nullValue", "\x00").option("mode", "FAILFAST").schema(_PAGE).load(path)
     body = flatten_breaks(F.coalesce("revision.text", F.lit("")))
     good = (F.coalesce("id", F.lit("")) != "") & (F.coalesce("ns", F.lit("")) != "")
     pages = raw.select(F.col("id").alias("record_id"), F.col("ns").alias("dimension_key"), f2_count(body).alias("word_count"), utf8_bytes(body).alias("text_bytes"), body.alias("text"), good.alias("well_formed"))

@@ -7,7 +7,8 @@ from orrery.functions.shingles import word_shingles
 from orrery.operators import similarity as S
 from orrery.operators.assertions import CheckFailed, assert_dependency, assert_unique
 from orrery.operators.relational import count_and_sums, natural_join, run_sql, strict_lookup_join, unmatched
-from orrery.operators.sampling import budget_prefix, nested_samples, round_robin
+from orrery.operators.sampling import budget_prefix, nested_samples, ranked, round_robin
+from orrery.operators.similarity import with_exact
 from orrery.operators.transcript import fold_transcript, malformed_headers, text_lines
 from orrery.operators.verify import digest_of_lines, same_rows
 
@@ -144,3 +145,30 @@ def test_verify(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "n int, s string")
     assert same_rows(a, a.orderBy(F.desc("n"))) and not same_rows(a, a.distinct())
     assert digest_of_lines(a).collect() == digest_of_lines(a.repartition(3)).collect()
+
+
+def test_strict_join_in_one_pass(spark, star):
+    facts, dims = star
+    got = count_and_sums(strict_lookup_join(facts, dims, "dimension_key", before=False), "category", "n", w="word_count", b="text_bytes")
+    assert bag(got) == [("(main)", 2, 5, 25), ("Template", 1, 3, 13)]
+    for key in ("999", None):
+        more = facts.unionByName(spark.createDataFrame([("9", key, 1, 1, "x")], facts.schema))
+        with pytest.raises(Exception, match="unknown dimension key"):
+            strict_lookup_join(more, dims, "dimension_key", before=False).agg(F.sum("word_count")).collect()
+
+
+def test_ranked_with_ties_nulls_outliers_and_clashing_names(spark):
+    rows = [(1, 5, "a", "p"), (2, None, "b", "p"), (10**15, 7, None, "p"), (3, 1, "", None)]
+    df = spark.createDataFrame(rows, "seq long, size long, place string, __pid string")
+    got = {r["seq"]: (r["at"], r["before"], r["place"]) for r in ranked(df, ["seq"], F.col("size"), "at").collect()}
+    assert got == {1: (0, 0, "a"), 2: (1, 5, "b"), 3: (2, 5, ""), 10**15: (3, 6, None)}
+    assert ranked(df.limit(0), ["seq"], F.col("size"), "at").count() == 0
+
+
+def test_digest_is_bounded_and_exact_fallback(spark):
+    with pytest.raises(CheckFailed, match="more than 2 lines"):
+        digest_of_lines(spark.range(3), 2)
+    sets = spark.createDataFrame([("a", [1, 2, 3]), ("b", [2, 3, 4]), ("c", [9])], "window_id string, h array<bigint>")
+    kept = spark.createDataFrame([("a", "b", 0.5)], "a string, b string, j double")
+    cands = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
+    assert bag(with_exact(cands, kept, sets)) == [("a", "b", 0.5), ("a", "c", 0.0)]
