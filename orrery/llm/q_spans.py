@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.spans import MIN_SPAN, merged_spans, shared_spans
+from orrery.llm.spans import MIN_SPAN, linked_pairs, linked_spans, merged_spans
 from orrery.sources.tables import table
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents, copies of equal texts of MIN_SPAN characters included."""
-    classes, pairs, _ = shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    classes, links, _ = linked_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
     ids = classes.select(F.col("doc").cast("bigint").alias("d"), "cls", "n")
-    many = ids.where(F.col("n") >= MIN_SPAN).groupBy("cls").agg(F.count("*").alias("k")).where("k > 1").select("cls")
-    a, b = (ids.select(F.col("d").alias(f"d{x}"), F.col("cls").alias(f"cls_{x}")) for x in "ab")
-    copies = ids.join(many, "cls").select("d", "cls")
-    same = copies.select(F.col("d").alias("da"), "cls").join(copies.select(F.col("d").alias("db"), "cls"), "cls").where("da < db").select("da", "db")
-    other = pairs.join(a, "cls_a").join(b, "cls_b").select("da", "db")
-    return same.unionByName(other).select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"))
+    same = linked_pairs(ids.where(F.col("n") >= MIN_SPAN).select(F.col("cls").alias("grp"), "d"), "d")
+    one, two = (ids.select(F.col("d").alias(f"d{x}"), F.col("cls").alias(x)) for x in "ab")
+    other = linked_pairs(links, "cls").join(one, "a").join(two, "b").select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
+    return same.unionByName(other).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: characters, characters in shared spans, number of spans and share found elsewhere."""
-    classes, _, spans = shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    classes, _, spans = linked_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
     per = merged_spans(spans).groupBy("cls").agg(F.sum(F.col("to_") - F.col("from_")).alias("c"), F.count("*").alias("k"))
     copies = classes.groupBy("cls").agg(F.count("*").alias("copies"))
     whole = (F.col("copies") > 1) & (F.col("n") >= MIN_SPAN)
@@ -35,7 +33,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shared span of every document, in code points."""
-    classes, _, spans = shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    classes, _, spans = linked_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
     copies = classes.groupBy("cls").agg(F.count("*").alias("copies"))
     ids = classes.join(copies, "cls")
     whole = ids.where((F.col("copies") > 1) & (F.col("n") >= MIN_SPAN)).select(F.col("doc").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("span_from"), F.col("n").alias("span_to"))

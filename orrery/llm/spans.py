@@ -5,11 +5,21 @@ window, so that every span of MIN_SPAN characters holds an anchor chosen in
 the same way wherever the span stands. All documents are indexed. Anchors
 seen in a single text are dropped; around each of the others a block of at
 most 2 * MIN_SPAN characters is kept, which holds every span of MIN_SPAN
-characters that has this anchor. Blocks with the same anchor are factored
-against each other: runs of equal MIN_SPAN-grams are the factors of
-sufficient length, compared character by character at their boundaries.
-
-Equal texts are one class and equal blocks one block, so copies cost a row.
+characters that has this anchor.
+
+Each block is parsed greedily against all reference blocks with its anchor.
+The index is sorted: the texts from the anchor on lie in order, with the
+length that neighbours have in common, as in a suffix array, and so do the
+texts before the anchor, read backwards. A parse goes from left to right;
+from each start the longest factor is the neighbour's common length among
+the blocks that agree up to the anchor. A start behind the boundary of the
+factor before is tried too, and a new factor begins where the end moves on,
+so that no shared span is cut by an earlier phrase. Both boundaries are
+common lengths of the characters themselves.
+
+Blocks that share a factor are a link group, a row a block: pairs are made
+only by linked_pairs(). Equal texts are one class and equal blocks one
+block, so copies cost a row.
 """
 
 from __future__ import annotations
@@ -25,11 +35,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.words import U64, mix
-from orrery.runtime import at_most, spread, stage
+from orrery.runtime import at_most, hot_join, spread, stage
 
 MIN_SPAN = 300
 SEGMENT = 1_000_000
-HOT_BLOCKS = 20_000
+#: Blocks parsed at once, and blocks of one anchor beyond which it is spread over tasks.
+CHUNK_BLOCKS = 4_096
+HOT_BLOCKS = 16_384
+#: Members of a link group whose pairs are made in one task.
+PAIR_BLOCK = 2_048
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -182,106 +196,172 @@ def _blocks(batches, min_span: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()))], names=["h", "cls", "bid", "block", "place", "lo"])
 
 
-_FACTORS = "h long, bid_a long, bid_b long, from_ int, to_ int, hot boolean, block string, place int"
-
-
-def _factor(group: list[dict], min_span: int) -> Iterator[tuple]:
-    """Factors of one anchor's blocks: (h, bid, bid', None, None) similar pairs; (h, bid, None, from, to) runs shared with another class."""
-    h = group[0]["h"]
-    if len(group) == 1:
-        g = group[0]
-        if g["c0"] != g["c1"] and len(g["block"]) >= min_span:
-            yield h, g["bid"], g["bid"], None, None
-            yield h, g["bid"], None, 0, len(g["block"])
-        return
-    # MIN_SPAN-grams by their start relative to the anchor: only equal starts can be equal
-    hashes, rel, owner = [], [], []
-    for i, g in enumerate(group):
-        x = gram_hashes(code_points(g["block"]), min_span)
-        hashes.append(x)
-        rel.append(np.arange(len(x)) - g["place"])
-        owner.append(np.full(len(x), i))
-    x, r, o = np.concatenate(hashes), np.concatenate(rel), np.concatenate(owner)
-    order = np.lexsort((o, x, r))
-    x, r, o = x[order], r[order], o[order]
-    if not len(x):
-        return
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(x)))
-    c0, c1 = np.array([g["c0"] for g in group]), np.array([g["c1"] for g in group])
-    several = np.minimum.reduceat(c0[o], at) != np.maximum.reduceat(c1[o], at)
-    shared = np.repeat(several, size)
-    slice_ = lambda i, s: group[i]["block"][s + group[i]["place"] :][:min_span]
-    seen: set[tuple[int, int]] = set()
-    done: set[tuple[int, ...]] = set()
-    for a, n in zip(at[several].tolist(), size[several].tolist()):
-        members = tuple(o[a : a + n].tolist())
-        if members in done:
+_FACTORS = "kind int, h long, bid long, grp long, from_ int, to_ int, block string, place int, c0 long, c1 long"
+_FACTOR_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+FACTOR, LINK, HOT = 0, 1, 2
+
+
+def _factor_rows(**cols) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    names = [c.split()[0] for c in _FACTORS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in zip(names, _FACTOR_TYPES)], names=names)
+
+
+class _Sorted:
+    """Texts (rows of characters, 0 behind their end) in order within their groups, and what neighbours have in common."""
+
+    def __init__(self, chars: np.ndarray, sizes: np.ndarray, group: np.ndarray):
+        rows = np.concatenate([group[:, None].astype(np.uint32) + 1, chars], axis=1)
+        key = np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
+        self.order = np.argsort(key, kind="stable")
+        self.rank = np.empty(len(key), np.int64)
+        self.rank[self.order] = np.arange(len(key))
+        rows, sizes = rows[self.order], sizes[self.order]
+        same = rows[1:] == rows[:-1]
+        common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1)) - 1
+        #: common length of each text with the next in order; -1 across groups
+        self.common = np.minimum(common, np.minimum(sizes[1:], sizes[:-1]))
+        self.levels = [self.common]
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common length of the texts of ranks a < b: the least over the ranks between them."""
+        n = np.bitwise_or(b - a, 1)
+        level = np.frexp(n.astype(float))[1] - 1
+        while len(self.levels) <= level.max(initial=0):
+            x, w = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(x[: len(x) - w], x[w:]) if len(x) > w else x[:0])
+        out = np.empty(len(a), np.int64)
+        for v in np.unique(level):
+            pick = level == v
+            x = self.levels[v]
+            out[pick] = np.minimum(x[a[pick]], x[b[pick] - (1 << v)])
+        return out
+
+
+def _part(flat: np.ndarray, start: np.ndarray, size: np.ndarray, step: int, width: int) -> np.ndarray:
+    """Characters from ``start`` on in one direction, raised by 1; 0 behind the end."""
+    at = start[:, None] + step * np.arange(width)
+    return np.where(np.arange(width) < size[:, None], flat[np.clip(at, 0, len(flat) - 1)] + np.uint32(1), np.uint32(0))
+
+
+def _parse(group: np.ndarray, texts: list[str], place: np.ndarray, c0: np.ndarray, c1: np.ndarray, bid: np.ndarray, min_span: int) -> tuple[tuple, tuple]:
+    """Factors (block, from, to) and link rows (block, group id) of blocks whose anchors are equal within ``group``.
+
+    c0, c1: least and greatest class that hold a block; a block of several
+    classes is a factor of itself.
+    """
+    n, before = len(texts), min_span - min_span // 2
+    flat = code_points("".join(texts))
+    size = np.array([len(t) for t in texts])
+    start = np.concatenate([[0], np.cumsum(size)])[:-1] + place
+    right_size, left_size = np.minimum(size - place, min_span), np.minimum(place, before)
+    right = _Sorted(_part(flat, start, right_size, 1, min_span), right_size, group)
+    left = _Sorted(_part(flat, start - 1, left_size, -1, before), left_size, group)
+    scrambled = mix(bid.view(U64))
+    reached = np.full(n, -1)
+    named = np.zeros(n, U64)
+    factors, links = [], []
+    for a in range(before, -1, -1):
+        need = min_span - a
+        fits = np.flatnonzero((left_size >= a) & (right_size >= need))
+        if not len(fits):
+            continue
+        # blocks that agree in the a characters before the anchor, in the order of what follows it
+        alike = np.concatenate([[0], np.cumsum(left.common < a)])[left.rank[fits]]
+        x = fits[np.argsort(alike * n + right.rank[fits])]
+        alike = np.concatenate([[0], np.cumsum(left.common < a)])[left.rank[x]]
+        lcp = np.full(len(x) + 1, -1)
+        inner = np.flatnonzero(alike[1:] == alike[:-1])
+        lcp[inner + 1] = right.between(right.rank[x[inner]], right.rank[x[inner + 1]])
+        at = np.flatnonzero(lcp[:-1] < need)
+        many = np.minimum.reduceat(c0[x], at) != np.maximum.reduceat(c1[x], at)
+        count = np.diff(np.append(at, len(x)))
+        shared = np.flatnonzero(np.repeat(many, count))
+        if not len(shared):
             continue
-        done.add(members)
-        for j, m in enumerate(members):
-            for m2 in members[j:]:
-                if (m, m2) in seen or (m == m2 and c0[m] == c1[m]):
-                    continue
-                if slice_(m, int(r[a])) == slice_(m2, int(r[a])):
-                    seen.add((m, m2))
-                    yield h, group[m]["bid"], group[m2]["bid"], None, None
-    own = np.lexsort((r[shared], o[shared]))
-    so, sr = o[shared][own], r[shared][own]
-    if len(so):
-        cut = np.flatnonzero((np.diff(so) != 0) | (np.diff(sr) != 1)) + 1
-        for first, last in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(so)]]) - 1):
-            g = group[so[first]]
-            yield h, g["bid"], None, int(sr[first] + g["place"]), int(sr[last] + g["place"] + min_span)
-
-
-def _factors(batches, min_span: int) -> Iterator[pa.RecordBatch]:
-    """Rows lie ordered by anchor. Blocks of an anchor beyond HOT_BLOCKS are handed on."""
-    schema = pa.schema([("h", pa.int64()), ("bid_a", pa.int64()), ("bid_b", pa.int64()), ("from_", pa.int32()), ("to_", pa.int32()), ("hot", pa.bool_()), ("block", pa.string()), ("place", pa.int32())])
-    group: list[dict] = []
-    hot = False
-
-    def emit(rows):
-        return pa.RecordBatch.from_pylist([dict(zip(("h", "bid_a", "bid_b", "from_", "to_"), r), hot=False) for r in rows], schema=schema)
-
-    def pass_on():
-        return pa.RecordBatch.from_pylist([{"h": g["h"], "bid_a": g["bid"], "from_": None, "hot": True, "block": g["block"], "place": g["place"]} for g in group], schema=schema)
-
-    rows: list[tuple] = []
+        # the longest factor from here: with a neighbour of another class, or with the block's own other class
+        y = x[shared]
+        reach = np.where(c0[y] != c1[y], right_size[y], need)
+        for other, common in ((shared - 1, lcp[shared]), (shared + 1, lcp[shared + 1])):
+            z = x[np.clip(other, 0, len(x) - 1)]
+            reach = np.where((common >= need) & (np.minimum(c0[y], c0[z]) != np.maximum(c1[y], c1[z])), np.maximum(reach, common), reach)
+        on = reach > reached[y]
+        reached[y[on]] = reach[on]
+        factors.append((y[on], place[y[on]] - a, place[y[on]] + reach[on]))
+        # a group whose members are those of the start before is known
+        name = mix(np.add.reduceat(scrambled[x], at) + group[x[at]].astype(U64))
+        news = many & (name != named[x[at]])
+        pick = np.repeat(news, count)
+        links.append((x[pick], np.repeat(name, count)[pick]))
+        named[x] = np.repeat(np.where(many, name, U64(0)), count)
+    join = lambda parts, i, kind: np.concatenate([p[i] for p in parts]).astype(kind) if parts else np.empty(0, kind)
+    return tuple(join(factors, i, np.int64) for i in range(3)), (join(links, 0, np.int64), join(links, 1, U64))
+
+
+def _factors(batches, min_span: int, hot_blocks: int) -> Iterator[pa.RecordBatch]:
+    """Factors and links of blocks ordered by anchor, parsed in chunks of whole anchors; anchors beyond hot_blocks are handed on."""
+    held: list[tuple] = []
+
+    def parsed(rows: list[tuple]):
+        h, bid, c0, c1, place = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 3, 5))
+        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+        (b, f, t), (x, g) = _parse(group, [r[4] for r in rows], place, c0, c1, bid, min_span)
+        yield _factor_rows(kind=np.full(len(b), FACTOR, np.int32), h=h[b], bid=bid[b], from_=f.astype(np.int32), to_=t.astype(np.int32))
+        yield _factor_rows(kind=np.full(len(x), LINK, np.int32), h=h[x], bid=bid[x], grp=mix(g + h[x].view(U64)).view(np.int64))
+
+    def hot(rows: list[tuple]):
+        yield _factor_rows(kind=np.full(len(rows), HOT, np.int32), **{c: [r[i] for r in rows] for i, c in enumerate(("h", "bid", "c0", "c1", "block", "place"))})
+
+    passing = None  # the anchor that is being handed on
     for b in batches:
-        for g in b.to_pylist():
-            if group and g["h"] != group[0]["h"] or (hot and not group):
-                if hot and group:
-                    yield pass_on()
-                elif not hot:
-                    rows += _factor(group, min_span)
-                group, hot = [], False
-            group.append(g)
-            if len(group) > HOT_BLOCKS:
-                hot = True
-                yield pass_on()
-                group = group[:1]
-        if len(rows) > 20_000:
-            yield emit(rows)
-            rows = []
-    if group and hot:
-        yield pass_on()
-    elif group:
-        rows += _factor(group, min_span)
-    yield emit(rows)
+        for row in zip(*(b.column(c).to_pylist() for c in ("h", "bid", "c0", "c1", "block", "place"))):
+            if passing is not None and row[0] != passing:
+                yield from hot(held)
+                held, passing = [], None
+            if held and passing is None and row[0] != held[-1][0] and len(held) >= CHUNK_BLOCKS:
+                yield from parsed(held)
+                held = []
+            held.append(row)
+            if passing is None and len(held) > hot_blocks:
+                first = next(i for i, r in enumerate(held) if r[0] == row[0])
+                if len(held) - first > hot_blocks:
+                    if first:
+                        yield from parsed(held[:first])
+                    held, passing = held[first:], row[0]
+            if passing is not None and len(held) >= CHUNK_BLOCKS:
+                yield from hot(held)
+                held = []
+    if held:
+        yield from (hot(held) if passing is not None else parsed(held))
+
+
+def _hot_grams(hot: DataFrame, min_span: int) -> tuple[DataFrame, DataFrame]:
+    """Factors and links of anchors with too many blocks for a task: equal grams at equal places, as aggregates.
+
+    A gram's classes and members are counted with map-side combining; grams
+    of many blocks are joined by broadcast, so that none gathers in a task.
+    """
+    starts = F.sequence(F.lit(0), F.length("block") - min_span)
+    gram = lambda s: F.struct(s.alias("s"), (s - F.col("place")).alias("r"), F.md5(F.expr("block").substr(s + 1, F.lit(min_span)).cast("binary")).alias("g"))
+    grams = stage(hot.where(F.length("block") >= min_span).select("h", "bid", "c0", "c1", F.explode(F.transform(starts, gram)).alias("x")).select("h", "bid", "c0", "c1", "x.s", "x.r", "x.g"), "hot-grams")
+    named = F.sum(F.xxhash64("bid").cast("decimal(20,0)")).alias("name")
+    groups = stage(grams.groupBy("h", "r", "g").agg(F.min("c0").alias("lo"), F.max("c1").alias("hi"), F.count("*").alias("n"), named).where("lo <> hi"), "hot-groups")
+    shared = hot_join(grams, groups.select("h", "r", "g", "n"), ["h", "r", "g"], F.col("n") > HOT_BLOCKS)
+    factors = shared.select("h", "bid", F.col("s").alias("from_"), (F.col("s") + min_span).alias("to_"))
+    # places with the same members are one group
+    once = groups.groupBy("h", "name").agg(F.min(F.struct("r", "g", "n")).alias("x")).select("h", "x.r", "x.g", "x.n", F.xxhash64("h", "name").alias("grp"))
+    return factors, hot_join(grams, once, ["h", "r", "g"], F.col("n") > HOT_BLOCKS).select("h", "bid", "grp")
 
 
-def shared_spans(docs: DataFrame, doc_id: str, text: str, min_span: int = MIN_SPAN) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, pairs, spans) of the texts that share a substring of min_span characters or more.
+def linked_spans(docs: DataFrame, doc_id: str, text: str, min_span: int = MIN_SPAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, links, spans) of the texts that share a substring of min_span characters or more.
 
     classes: doc, cls, n (characters), for every document with a text.
-    pairs: cls_a < cls_b, each pair of different texts with such a
-    substring. spans: cls, from_, to_ (code points, not merged): what stands
-    in another text too. Equal texts share one class. Null texts and ids are
-    left out; texts shorter than min_span share nothing; repeats within one
-    text don't count.
+    links: grp, cls; the classes of a group have such a substring in common,
+    and every pair of classes that has one is in a group. spans: cls, from_,
+    to_ (code points, not merged): what stands in another text too. Equal
+    texts share one class. Null texts and ids are left out; texts shorter
+    than min_span share nothing; repeats within one text don't count.
     """
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = spread(docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).alias("txt")).where("doc is not null and txt is not null"))
@@ -293,22 +373,41 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, min_span: int = MIN_SP
     bearer = kept.join(classes.groupBy("cls").agg(F.min("doc").alias("doc")), "cls")
     blocks = stage(src.dropDuplicates(["doc"]).join(bearer, "doc").select("cls", "txt", "kept").mapInArrow(partial(_blocks, min_span=min_span), "h long, cls long, bid long, block string, place int, lo long"), "blocks")
     each = blocks.groupBy("h", "bid").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.first("block").alias("block"), F.first("place").alias("place"))
-    facts = stage(each.repartition(n_parts, "h").sortWithinPartitions("h", "bid").mapInArrow(partial(_factors, min_span=min_span), _FACTORS), "factors")
-    similar = facts.where("not hot and bid_b is not null").select("h", "bid_a", "bid_b")
-    runs = facts.where("not hot and bid_b is null").select("h", F.col("bid_a").alias("bid"), "from_", "to_")
-    hot = facts.where("hot").select("h", F.col("bid_a").alias("bid"), "block", "place").distinct()
+    found = stage(each.repartition(n_parts, "h").sortWithinPartitions("h", "bid").mapInArrow(partial(_factors, min_span=min_span, hot_blocks=HOT_BLOCKS), _FACTORS), "factors", by="kind")
+    factors = found.where(f"kind = {FACTOR}").select("h", "bid", "from_", "to_")
+    links = found.where(f"kind = {LINK}").select("h", "bid", "grp")
+    hot = found.where(f"kind = {HOT}").select("h", "bid", "c0", "c1", "block", "place")
     if not at_most(hot, 0):
-        grams = hot.where(F.length("block") >= min_span).select("h", "bid", "place", F.explode(F.transform(F.sequence(F.lit(0), F.length("block") - min_span), lambda s: F.struct(s.alias("s"), F.md5(F.expr("block").substr(s + 1, F.lit(min_span))).alias("g")))).alias("x")).select("h", "bid", "x.s", (F.col("x.s") - F.col("place")).alias("r"), "x.g")
-        grams = grams.join(blocks.select("h", "bid", "cls").distinct(), ["h", "bid"])
-        both = stage(grams.groupBy("h", "r", "g").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").drop("c0", "c1").join(grams, ["h", "r", "g"]), "hot-grams")
-        runs = runs.unionByName(both.select("h", "bid", F.col("s").alias("from_"), (F.col("s") + min_span).alias("to_")).distinct())
-        one, two = (both.select("h", "r", "g", F.col("bid").alias(f"bid_{x}")).distinct() for x in "ab")
-        similar = similar.unionByName(one.join(two, ["h", "r", "g"]).where("bid_a <= bid_b").select("h", "bid_a", "bid_b").distinct())
+        more_factors, more_links = _hot_grams(hot, min_span)
+        factors, links = factors.unionByName(more_factors), links.unionByName(more_links)
+    # a block that many classes hold is broadcast to its places
     at = blocks.select("h", "bid", "cls", "lo").distinct()
-    a, b = (at.select("h", F.col("bid").alias(f"bid_{x}"), F.col("cls").alias(f"cls_{x}")).distinct() for x in "ab")
-    pairs = similar.join(a, ["h", "bid_a"]).join(b, ["h", "bid_b"]).where("cls_a <> cls_b").select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct()
-    spans = runs.join(at, ["h", "bid"]).select("cls", (F.col("lo") + F.col("from_")).alias("from_"), (F.col("lo") + F.col("to_")).alias("to_"))
-    return classes, pairs, spans
+    many = blocks.groupBy("h", "bid").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BLOCKS)
+    factors, links = (df.join(many, ["h", "bid"], "left") if not at_most(many, 0) else df.withColumn("n", F.lit(None).cast("bigint")) for df in (factors, links))
+    spans = hot_join(at, factors, ["h", "bid"], F.col("n").isNotNull()).select("cls", (F.col("lo") + F.col("from_")).alias("from_"), (F.col("lo") + F.col("to_")).alias("to_"))
+    return classes, hot_join(at, links, ["h", "bid"], F.col("n").isNotNull()).select("grp", "cls").distinct(), spans
+
+
+def linked_pairs(links: DataFrame, member: str) -> DataFrame:
+    """(a, b), a < b: every pair of members of a group, once.
+
+    Groups with the same members are one. A group of more than PAIR_BLOCK
+    members is cut into blocks, and each pair of blocks is a key of its own.
+    """
+    links = stage(links.select("grp", F.col(member).alias("m")), "links")
+    sizes = links.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("m").cast("decimal(20,0)")).alias("name")).where("n > 1")
+    once = sizes.groupBy("name", "n").agg(F.min("grp").alias("grp")).select("grp", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("nb"))
+    rows = hot_join(links, once, ["grp"], F.col("nb") > 1).withColumn("i", F.pmod(F.xxhash64("m"), F.col("nb")).cast("int"))
+    across = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    one = across.where("i <= j").select("grp", "i", "j", F.col("m").alias("x"))
+    two = across.where("j <= i").select("grp", F.col("j").alias("i"), F.col("i").alias("j"), F.col("m").alias("y"))
+    return one.join(two, ["grp", "i", "j"]).where("i < j and x <> y or i = j and x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def shared_spans(docs: DataFrame, doc_id: str, text: str, min_span: int = MIN_SPAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, pairs, spans): linked_spans() with the pairs cls_a < cls_b behind its links."""
+    classes, links, spans = linked_spans(docs, doc_id, text, min_span)
+    return classes, linked_pairs(links, "cls").toDF("cls_a", "cls_b"), spans
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

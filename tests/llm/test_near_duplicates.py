@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,57 @@ def test_spans_of_an_empty_table(spark):
     classes, pairs, spans = P.shared_spans(spark.createDataFrame([], "d string, t string"), "d", "t")
     assert classes.count() == pairs.count() == spans.count() == 0
     assert F is not None
+
+
+def test_a_shared_footer_costs_a_row_a_block(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    footer = text(400)
+    rows = {}
+    for n in (100, 400):
+        df = spark.createDataFrame([(f"d{i:04d}", text(700) + footer + text(rng.randrange(700))) for i in range(n)], "d string, t string")
+        classes, links, spans = P.linked_spans(df, "d", "t")
+        assert classes.count() == n and links.select("cls").distinct().count() == n
+        rows[n] = links.count() + spans.count()
+        assert P.linked_pairs(links, "cls").count() == n * (n - 1) // 2
+    assert rows[400] <= 6 * rows[100]  # chance neighbours of the footer add a logarithm; pairs would be 16
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parse_finds_the_longest_factors_and_all_links(seed):
+    rng = random.Random(seed)
+    m, k = 12, 6
+    blocks, group, place, cls = [], [], [], []
+    for g in range(30):
+        anchor = "".join(rng.choice("ab") for _ in range(k))
+        pool = ["".join(rng.choice("ab") for _ in range(6)) for _ in range(3)]
+        for _ in range(rng.randrange(1, 7)):
+            left, right = rng.choice(pool)[rng.randrange(7) :], rng.choice(pool)[: rng.randrange(7)]
+            blocks.append(left + anchor + right)
+            group.append(g)
+            place.append(len(left))
+            cls.append(rng.randrange(5))
+    arr = lambda x: np.array(x, np.int64)
+    (b, f, t), (x, name) = P._parse(arr(group), blocks, arr(place), arr(cls), arr(cls), arr(range(len(blocks))), m)
+    want_cover, want_pairs = {}, set()
+    for i, j in itertools.permutations(range(len(blocks)), 2):
+        if group[i] == group[j] and cls[i] != cls[j]:
+            lo = 0
+            while lo < min(place[i], place[j]) and blocks[i][place[i] - lo - 1] == blocks[j][place[j] - lo - 1]:
+                lo += 1
+            hi = 0
+            while hi < min(len(blocks[i]) - place[i], len(blocks[j]) - place[j]) and blocks[i][place[i] + hi] == blocks[j][place[j] + hi]:
+                hi += 1
+            lo = min(lo, m - k)
+            if lo + hi >= m:
+                want_cover.setdefault(i, set()).update(range(place[i] - lo, place[i] + hi))
+                want_pairs.add((min(i, j), max(i, j)))
+    cover = {}
+    for i, lo, hi in zip(b.tolist(), f.tolist(), t.tolist()):
+        assert hi - lo >= m
+        cover.setdefault(i, set()).update(range(lo, hi))
+    assert cover == want_cover
+    members = {}
+    for i, n in zip(x.tolist(), name.tolist()):
+        members.setdefault(n, set()).add(i)
+    assert {p for s in members.values() for p in itertools.combinations(sorted(s), 2) if cls[p[0]] != cls[p[1]]} == want_pairs
