@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes (as JSON) up to which a side may be broadcast.
@@ -92,6 +92,21 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROAD
     return (F.broadcast(df) if small else df), small
 
 
+def hot_join(rows: DataFrame, side: DataFrame, on: list[str], hot: Column) -> DataFrame:
+    """``rows`` joined with ``side``, of which ``hot`` marks the rows that meet very many.
+
+    Those are few; where their size proves it they are broadcast, and the
+    rows with such keys don't go into the shuffle of the others.
+    """
+    busy, small = maybe_broadcast(side.where(hot))
+    if not small:
+        return rows.join(side, on)
+    if at_most(busy, 0):
+        return rows.join(side.where(F.coalesce(~hot, F.lit(True))), on)
+    keys = F.broadcast(side.where(hot).select(*on).distinct())
+    return rows.join(busy, on).unionByName(rows.join(keys, on, "left_anti").join(side.where(F.coalesce(~hot, F.lit(True))), on))
+
+
 def fresh(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` has that name (in any case)."""
     have = {c.lower() for c in df.columns}
