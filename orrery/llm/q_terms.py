@@ -9,17 +9,26 @@ from orrery.llm.terms import term_frequencies
 from orrery.sources.tables import table
 
 
-def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every term of both text fields with occurrences, records and verdict (null: neither)."""
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [term_frequencies(table(spark, sf_dir, t), i, "text").select(F.lit(f"{t}.text").alias("field_name"), "*") for t, i in (("utterances", "utterance_id"), ("facts", "record_id"))]
     return parts[0].unionByName(parts[1])
 
 
+def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of both text fields with occurrences, records and verdict (null: neither)."""
+    return _terms(spark, sf_dir).drop("last_record")
+
+
+def p1_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term with the last record that holds it."""
+    return _terms(spark, sf_dir).select("field_name", "term", "last_record")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_terms(spark, sf_dir).where("verdict is not null").select("field_name", "term", "verdict")
+    return _terms(spark, sf_dir).where("verdict is not null").select("field_name", "term", "verdict")
 
 
-QUERIES = {"p1_terms": p1_terms, "p1_found": p1_found}
+QUERIES = {"p1_terms": p1_terms, "p1_found": p1_found, "p1_last_seen": p1_last_seen}
 
 _SQL = """
 WITH recs AS (
@@ -32,6 +41,7 @@ marked AS (SELECT field_name, term, occurrences, records, CASE WHEN records < 3
 """
 
 ORACLES = {
+    "p1_last_seen": _SQL + "SELECT field_name, term, max(rid) AS last_record FROM tok GROUP BY 1, 2",
     "p1_terms": _SQL + "SELECT * FROM marked",
     "p1_found": _SQL + "SELECT field_name, term, verdict FROM marked WHERE verdict IS NOT NULL",
 }

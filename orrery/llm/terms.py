@@ -1,4 +1,13 @@
-"""Occurrences and record counts of every term, by last-seen counters."""
+"""Occurrences and record counts of every term, by last-seen counters.
+
+Records are hash-partitioned by their identifier and lie in order in each
+task. A term keeps three things: its occurrences, its records, and the last
+record it was seen in. A token whose record isn't that last one is the term
+in a new record; no set of records is ever kept. Since a record lies whole in
+one task, the counters of a term from different tasks add up: they are
+hash-partitioned by term, so that a term in every record costs a row a task
+and tokens themselves never travel.
+"""
 
 from __future__ import annotations
 
@@ -14,68 +23,83 @@ from orrery.runtime import spread, stage
 
 #: Distinct terms that a task holds before it hands its counters on.
 HELD_TERMS = 300_000
-_SCHEMA = "term string, occurrences long, records long"
+_SCHEMA = "term string, occurrences long, records long, last_record string"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counters of the records in a task; the row without a term counts records with text.
+class LastSeen:
+    """Counters of terms over tokens that come ordered by record; records are numbered as they come."""
 
-    The tokens of a batch lie ordered by record. Sorted by term, the order of
-    records stays, so a term has a new record wherever the record differs
-    from the one it was last seen in: a counter of occurrences, one of
-    records and the last record are all that a term needs.
-    """
-    ids: dict[str, int] = {}
-    occ = np.zeros(0, np.int64)
-    rec = np.zeros(0, np.int64)
-    with_text = 0
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+        self.occurrences, self.records, self.last = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, tokens: list[str], record: np.ndarray) -> None:
+        """Tokens with the number of the record of each, not descending."""
+        ids = self.ids
+        t = np.array([ids.setdefault(w, len(ids)) for w in tokens], np.int64)
+        more = len(ids) - len(self.last)
+        if more > 0:
+            more += len(ids)
+            self.occurrences, self.records = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.occurrences, self.records))
+            self.last = np.concatenate([self.last, np.full(more, -1)])
+        if not len(t):
+            return
+        # a term's tokens side by side, still ordered by record: each is compared with the record the term was last seen in
+        order = np.argsort(t, kind="stable")
+        t, record = t[order], record[order]
+        first = np.append(True, t[1:] != t[:-1])
+        seen = np.where(first, self.last[t], np.append(-1, record[:-1]))
+        self.occurrences += np.bincount(t, minlength=len(self.last))
+        self.records += np.bincount(t[record != seen], minlength=len(self.last))
+        end = np.append(first[1:], True)
+        self.last[t[end]] = record[end]
+
+    def rows(self, name: list) -> tuple[list, np.ndarray, np.ndarray, list]:
+        """(term, occurrences, records, last record) of every term; ``name`` gives the identifiers of the records."""
+        n = len(self.ids)
+        return list(self.ids), self.occurrences[:n], self.records[:n], [name[i] for i in self.last[:n]]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of the records in a task; the row without a term counts records with text. Rows: record, text, ordered by record."""
+    seen, names, with_text = LastSeen(), [], 0
 
     def out():
-        terms = pa.array([None, *ids], pa.string())
-        return pa.RecordBatch.from_arrays([terms, pa.array(np.concatenate([[with_text], occ[: len(ids)]])), pa.array(np.concatenate([[with_text], rec[: len(ids)]]))], names=["term", "occurrences", "records"])
+        term, occ, rec, last = seen.rows(names)
+        return pa.RecordBatch.from_arrays([pa.array([None, *term], pa.string()), pa.array(np.append(with_text, occ)), pa.array(np.append(with_text, rec)), pa.array([None, *last], pa.string())], names=["term", "occurrences", "records", "last_record"])
 
     for batch in batches:
-        term: list[int] = []
-        sizes = []
-        for text in batch.column(0).to_pylist():
+        tokens: list[str] = []
+        numbers, sizes = [], []
+        for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text is None:
-                sizes.append(0)
                 continue
             with_text += 1
             words = f1_words(text)
+            numbers.append(len(names))
+            names.append(rid)
             sizes.append(len(words))
-            term.extend([ids.setdefault(w, len(ids)) for w in words])
-        t = np.array(term, np.int64)
-        record = np.repeat(np.arange(len(sizes)), sizes)
-        if len(ids) > len(occ):
-            occ, rec = (np.concatenate([x, np.zeros(2 * len(ids) - len(x), np.int64)]) for x in (occ, rec))
-        order = np.argsort(t, kind="stable")
-        t, record = t[order], record[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (record[1:] != record[:-1])
-        occ += np.bincount(t, minlength=len(occ))
-        rec += np.bincount(t[new], minlength=len(rec))
-        if len(ids) > HELD_TERMS:
+            tokens += words
+        seen.add(tokens, np.repeat(np.array(numbers, np.int64), sizes))
+        if len(seen.ids) > HELD_TERMS or len(names) > HELD_TERMS:
             yield out()
-            ids, with_text = {}, 0
-            occ[:] = 0
-            rec[:] = 0
+            seen, names, with_text = LastSeen(), [], 0
     yield out()
 
 
 def term_frequencies(records: DataFrame, record_id: str, text: str, rare_below: int = 3, common_above: float = 0.1) -> DataFrame:
-    """Every F1 word of ``text``: term, occurrences, records, verdict.
+    """Every F1 word of ``text``: term, occurrences, records, verdict, last_record.
 
     Rows with the same ``record_id`` are one record. verdict is 'rare' for a
     term in fewer than ``rare_below`` records, else 'common' for one in more
-    than ``common_above`` of the records whose text isn't null, else null.
-    Null, empty or wordless texts give no term (empty ones count as records
-    with text); an empty table gives no rows. Partial counters are summed by
-    hash of the term, so a term in every record costs a row per task.
+    than ``common_above`` of the records whose text isn't null, else null;
+    last_record is the greatest identifier of a record with the term. Null,
+    empty or wordless texts give no term (empty ones count as records with
+    text); an empty table gives no rows.
     """
-    once = spread(records.select(F.col(record_id).alias("rid"), F.col(text).alias("txt"))).dropDuplicates(["rid"])
-    counts = once.select("txt").mapInArrow(_count, _SCHEMA).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    counts = stage(counts, "terms")
+    once = spread(records.select(F.col(record_id).alias("rid"), F.col(text).alias("txt"))).dropDuplicates(["rid"]).sortWithinPartitions("rid")
+    sums = [F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"), F.max("last_record").alias("last_record")]
+    counts = stage(once.select(F.col("rid").cast("string"), "txt").mapInArrow(_count, _SCHEMA).groupBy("term").agg(*sums), "terms")
     total = counts.where("term is null").agg(F.coalesce(F.max("records"), F.lit(0)).alias("with_text"))
     verdict = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(common_above) * F.col("with_text"), "common")
-    return counts.where("term is not null").crossJoin(F.broadcast(total)).select("term", "occurrences", "records", verdict.alias("verdict"))
+    return counts.where("term is not null").crossJoin(F.broadcast(total)).select("term", "occurrences", "records", verdict.alias("verdict"), "last_record")

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,19 @@ def test_word_rules():
     assert f1_words("YOU’RE it's a-b") == ["you're", "it's", "a", "b"] and f1_words(None) == []
     assert f2_words("Don’t_STOP Ünïcode 12") == ["don’t", "stop", "ünïcode", "12"]
     assert re.fullmatch("[01]{12}", leaks.MASKS[0])
+
+
+def test_last_seen_counters_keep_a_record_that_goes_on(spark):
+    rng = random.Random(3)
+    words, record = [], []
+    for r in range(60):
+        n = rng.randrange(0, 9)
+        words += [rng.choice("abcdefg") for _ in range(n)]
+        record += [r] * n
+    seen, at = terms.LastSeen(), 0
+    while at < len(words):  # cuts anywhere, also inside a record
+        n = rng.randrange(0, 12)
+        seen.add(words[at : at + n], np.array(record[at : at + n], np.int64))
+        at += n
+    got = {t: (o, n, x) for t, o, n, x in zip(*seen.rows([str(r) for r in range(60)]))}
+    assert got == {t: (words.count(t), len({r for w, r in zip(words, record) if w == t}), str(max(r for w, r in zip(words, record) if w == t))) for t in set(words)}
