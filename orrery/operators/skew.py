@@ -58,6 +58,8 @@ def key_profiles(
         merged.append(F.max("last")["rid"].alias("latest_id"))
     totals = hist.groupBy("k").agg(*merged)
 
+    if not quantiles:
+        return totals.withColumnRenamed("k", "key")
     # wanted ranks: one row per key and quantile
     wanted = totals.where("n_values > 0").select("k", F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("n_values"))).cast("bigint").alias("rank")) for i, q in enumerate(quantiles)])).alias("w")).select("k", "w.qi", "w.rank")
     counts = hist.where("bin is not null").select("k", "bin", F.col("nv").alias("n"))
@@ -75,8 +77,6 @@ def key_profiles(
             counts = base.join(live.withColumnRenamed("k", "k2").withColumnRenamed("pre", "pre2"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("pre") == F.col("pre2")), "left_semi").groupBy("k", "pre", F.shiftright("v", shift).alias("bin")).agg(F.count("*").alias("n"))
         state = _resolve(state, counts)
     qcols = [F.max(F.when(F.col("qi") == i, F.col("pre"))).alias(f"q{round(q * 1000):03d}") for i, q in enumerate(quantiles)]
-    if not quantiles:
-        return totals.withColumnRenamed("k", "key")
     picked = state.groupBy("k").agg(*qcols).withColumnRenamed("k", "k2")
     return totals.join(picked, F.col("k").eqNullSafe(F.col("k2")), "left").drop("k2").withColumnRenamed("k", "key")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
+T = TypeVar("T")
 _stages: list[tuple[SparkSession, str]] = []
 
 
@@ -92,6 +96,12 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROAD
     return (F.broadcast(df) if small else df), small
 
 
+def side_by_side(*steps: Callable[[], T]) -> list[T]:
+    """The results of independent steps whose jobs run at the same time, in order."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(step) for step in steps]]
+
+
 def hot_join(rows: DataFrame, side: DataFrame, on: list[str], hot: Column) -> DataFrame:
     """``rows`` joined with ``side``, of which ``hot`` marks the rows that meet very many.
 

@@ -25,8 +25,7 @@ def test_contiguous_runs(spark):
 
 
 @pytest.mark.parametrize("bound", [R.BROADCAST_ROWS, 0])
-def test_orphans_against_a_plain_loop(spark, bound, monkeypatch):
-    monkeypatch.setattr(R, "BLOCK_RUNS", 2)
+def test_orphans_against_a_plain_loop(spark, bound):
     rng = random.Random(8)
     day = lambda n: None if n is None else T0 + timedelta(hours=n)
     parents = [(f"k{rng.randrange(6)}", day(rng.choice([None, *range(0, 60, 3)])), day(rng.choice([None, *range(5, 90, 5)]))) for _ in range(40)] + [(None, None, None)]
@@ -87,3 +86,42 @@ def test_profiles_against_a_plain_loop(spark, bits):
 def test_profiles_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k string, v int")
     assert key_profiles(df, F.col("k"), F.col("v")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 9])
+def test_runs_over_many_partitions(spark, parts):
+    rng = random.Random(parts)
+    spans = [(rng.choice("aab"), s, s + rng.choice([0, 1, 2, 40, 700])) for s in (rng.randrange(900) for _ in range(120))] + [("c", -(2**62), 2**62), ("c", 5, 6)]
+    got = sorted(map(tuple, R.merged_runs(spark.createDataFrame(spans, "ref_key string, s bigint, e bigint").repartition(5), parts).collect()))
+    want = []
+    for k, s, e in sorted(spans):
+        if want and want[-1][0] == k and s <= want[-1][2] + 1:
+            want[-1][2] = max(want[-1][2], e)
+        else:
+            want.append([k, s, e])
+    assert got == sorted(map(tuple, want))
+
+
+def test_sorted_and_bisected_references_agree(spark):
+    rng = random.Random(1)
+    spans = [(k, s, s + rng.randrange(30)) for k in ("hot", "b", "late") for s in [rng.randrange(500) for _ in range(25)]] + [("late", 10_000, 10_010)]
+    runs = R.merged_runs(spark.createDataFrame(spans, "ref_key string, s bigint, e bigint"))
+    refs = spark.createDataFrame([(i, rng.choice(["hot"] * 9 + ["b", "late", "none", None]), rng.choice([None, *range(-20, 600, 3)])) for i in range(900)], "id int, k string, at bigint").repartition(4)
+    every = [sorted((r["id"], r["orphan_reason"]) for r in R.orphan_references(refs, "k", F.col("at"), runs, bound, parts).collect()) for bound, parts in ((10**6, None), (0, 1), (0, 4), (0, 16))]
+    assert every[0] and all(x == every[0] for x in every)
+
+
+def test_key_codes(spark):
+    refs = spark.createDataFrame([(k,) for k in "bbdzx"] + [(None,)], "k string")
+    parents = spark.createDataFrame([(k,) for k in "abbcx"] + [(None,)], "k string")
+    codes = R.key_codes(refs, parents, "k")
+    assert sorted(map(tuple, codes.collect())) == [("a", 0, 0, True), ("b", 1, 2, True), ("c", 2, 0, True), ("d", 3, 1, False), ("x", 4, 1, True), ("z", 5, 1, False)]
+    assert sorted(r["code"] for r in R.coded(refs, codes, "k").collect()) == [1, 1, 3, 4, 5]
+    assert {r["known"] for r in R.key_codes(refs, parents.limit(0), "k").collect()} == {False}
+    assert R.key_codes(refs.limit(0), parents.limit(0), "k").count() == 0
+
+
+def test_profiles_without_quantiles(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), (None, 3)], "k string, v int")
+    got = {r["key"]: (r["n_rows"], r["n_values"]) for r in key_profiles(df, F.col("k"), F.col("v"), ()).collect()}
+    assert got == {"a": (2, 1), None: (1, 1)}
