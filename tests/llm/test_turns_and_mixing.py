@@ -165,3 +165,37 @@ def test_mix(spark):
     assert selected.where("source = 'B'").agg(F.max("uses")).first()[0] == 3
     empty, report = M.mix_sources(df.limit(0), "doc", "text", "src", goals)
     assert empty.count() == 0 and report.count() == 3
+
+
+def test_only_known_labels_are_cut_off(spark):
+    rows = [("s", f"s-{i:03d}", None, who, text, None, None) for i, (who, text) in enumerate([("CAP", "OK - go ahead"), ("CAP", "NO - say again"), ("NAV", "CAP: right"), ("GR18", "GR18 - yes"), (None, "NAV - on"), ("COM", "CAPX: left")])]
+    sp = spark.createDataFrame([("S", "CAP", "c", "Captain", None, None), ("S", "NAV", "c", None, None, None)], SPEAKERS)
+    got = {r["uid"]: r["clean"] for r in T.ordered_records(spark.createDataFrame(rows, UTTERANCES), sp, True).collect()}
+    assert [got[f"s-{i:03d}"] for i in range(6)] == ["OK - go ahead", "NO - say again", "right", "yes", "on", "CAPX: left"]
+
+
+def test_long_blank_runs_decode_the_same_in_stretches(monkeypatch):
+    rng = np.random.default_rng(5)
+    codes = list("ABCD")
+    flat = np.array([(s, c, n) for (s, c), n in sorted({(int(s), int(c)): int(n) for s, c, n in zip(rng.integers(0, 4096, 400), rng.integers(0, 4, 400), rng.integers(1, 9, 400))}.items())]).T
+    trans = np.array([(a, b, int(n)) for (a, b), n in zip([(a, b) for a in range(4) for b in range(4)], rng.integers(1, 30, 16))]).T
+    model = T.Model(codes, tuple(flat), tuple(trans), np.array([4.0, 3, 2, 1]))
+    texts = [" ".join(rng.choice(["go", "stop", "roger", "water", "moon", "tank"], 3)) for _ in range(40)]
+    whole = model.decode(texts, "A", "C")
+    for stretch in (1, 3, 39, 40):
+        monkeypatch.setattr(T.Chain, "STRETCH", stretch)
+        assert model.decode(texts, "A", "C") == whole
+    assert T.Carried().decode([None] * 600, "A", "B") == ["A"] * 600 and T.Carried().decode(["x"], None, "B") == [None]
+
+
+def test_times_are_carried_over_blocks_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(T, "NUMBER_BLOCK", 2)
+    rows = [("s", f"s-{i:03d}", "00:00:00:05" if i == 1 else "00:00:01:00" if i == 40 else None, "A", "word", None, None) for i in range(64)]
+    got = {r["uid"]: r["secs"] for r in T.ordered_records(spark.createDataFrame(rows, UTTERANCES), spark.createDataFrame([], SPEAKERS), False).collect()}
+    assert [got[f"s-{i:03d}"] for i in range(64)] == [-1 if i < 1 else 5 if i < 40 else 60 for i in range(64)]
+
+
+def test_a_turn_over_many_partitions_keeps_its_text_in_order(spark):
+    rows = [("s", f"s-{i:04d}", None, "A" if i % 300 == 0 else None, f"w{i:04d}", None, None) for i in range(300)]
+    turns = T.speaker_turns(T.ordered_records(spark.createDataFrame(rows, UTTERANCES), spark.createDataFrame([], SPEAKERS), True)).collect()
+    assert [(t["first_id"], t["last_id"], t["n"], t["text"]) for t in turns] == [("s-0000", "s-0299", 300, " ".join(f"w{i:04d}" for i in range(300)))]
