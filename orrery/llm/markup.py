@@ -21,7 +21,7 @@ from orrery.runtime import spread
 
 _M, _I, _S = re.M, re.I, re.S
 
-# fixed values: the constructs of the four languages
+# the constructs of the four languages
 TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*|/)?>|</?[a-z][a-z0-9]*(?:\s+[a-z-]+\s*=[^<>]*)?$|<!--|<!doctype\b|<\?xml\b", _I)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,31});", _I)
 HTML_BLOCK = re.compile(r"</?(?:p|h[1-6]|div|li|ul|ol|table|tr|td|th|html|head|body|title|blockquote|section|article)\b[^<>]*>", _I)
@@ -37,13 +37,17 @@ WIKI_INLINE = re.compile(r"'{2,5}(?=[^\s'])[^'\n]+'{2,5}|'''|\[\[\w|\{\{\w|^\{\|
 WIKI_HEADING = re.compile(r"^(={2,6})[ \t]*([^=\n][^\n]*?)[ \t]*={2,6}[ \t]*$", _M)
 WIKI_LIST = re.compile(r"^[*#]+[ \t]*[^\s*#]", _M)
 
-MD = re.compile(r"\*\*(?=[^\s*])|!?\[[^\[\]\n]*\]\([^()\n]*\)|^(?:```|~~~)|^#{1,6} +\S|(?<![\w`])`[^`\n]+`(?![\w`])", _M)
+_LINK = r"!?\[[^\[\]\n]*\]\([^()\s]*(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'))?[ \t]*\)"
+MD = re.compile(rf"\*\*(?=[^\s*])|{_LINK}|^(?:```|~~~)|^#{{1,6}} +\S|(?<![\w`])`[^`\n]+`(?![\w`])", _M)
+# one lower-case word between double underscores is a name, as code writes it (__init__)
 MD_INLINE = re.compile(
-    r"\*\*(?=[^\s*])[^*\n]+\*\*|(?<![\w*])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![\w*])|(?<!\w)__?(?=[^\s_])[^_\n]*[^\s_]__?(?!\w)|(?<![\w`])`[^`\n]+`(?![\w`])|!?\[[^\[\]\n]*\]\([^()\n]*\)|~~(?=\S)[^~\n]+~~|^ {0,3}>[ \t]+\S", _M
+    rf"\*\*(?=[^\s*])[^*\n]+\*\*|(?<![\w*])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![\w*])|(?<!\w)(?!__[a-z0-9]+__(?!\w))__?(?=[^\s_])[^_\n]*[^\s_]__?(?!\w)|(?<![\w`])`[^`\n]+`(?![\w`])|{_LINK}|~~(?=\S)[^~\n]+~~|^ {{0,3}}>[ \t]+\S",
+    _M,
 )
 MD_HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*?)(?:[ \t]+#+)?[ \t]*$", _M)
 MD_SETEXT = re.compile(r"^(?=[^\n]*\w)(?![ \t]*(?:[-*+>|]|\d+[.)])[ \t])([^\n]+)\n(={2,}|-{2,})[ \t]*$", _M)
 MD_LIST = re.compile(r"^[ \t]*(?:[-*+]|\d{1,4}[.)])[ \t]+\S", _M)
+QUANTITY = re.compile(r"^[ \t]*[-+*][ \t]+\d[\d.,]*[ \t]*[^\s\w]?\w{0,3}[ \t]*$", _M)
 MD_FENCE = re.compile(r"^[ \t]{0,3}(```+|~~~+)[^\n`]*$", _M)
 MD_TABLE = re.compile(r"^\|?[ \t]*:?-{3,}:?[ \t]*\|", _M)
 
@@ -84,7 +88,7 @@ def language(text: str) -> str | None:
     best = max(votes, key=lambda k: (votes[k], k == "wiki"))
     if votes[best] > 0:
         return best
-    return "markdown" if len(MD_LIST.findall(text)) > 1 or any(x in text for x in "*_`>~[") and MD_INLINE.search(text) else None
+    return "markdown" if len(MD_LIST.findall(text)) - len(QUANTITY.findall(text)) > 1 or any(x in text for x in "*_`>~[") and MD_INLINE.search(text) else None
 
 
 def constructs(text: str | None) -> set[str]:
@@ -138,10 +142,11 @@ def clean_text(text: str | None) -> str | None:
         return text
     lang = language(text)
     kept: list[str] = []
+    mark = next(c for c in map(chr, range(0xF0000, 0x10FFFE)) if c not in text)  # stands around the number of a block that is kept
 
     def keep(block: str) -> str:
         kept.append(block)
-        return f"\n\x00{len(kept) - 1}\x00\n"
+        return f"\n{mark}{len(kept) - 1}{mark}\n"
 
     def code(body: str) -> str:
         body = html.unescape(re.sub(r"</?code\b[^<>]*>", "", body, flags=_I)) if lang == "html" else body
@@ -177,9 +182,9 @@ def clean_text(text: str | None) -> str | None:
         t = MD_SETEXT.sub(lambda m: ("# " if m[2][0] == "=" else "## ") + m[1].strip(), t)
         t = re.sub(r"^[ \t]*(?:[-*+]|\d{1,4}[.)])[ \t]+(?=\S)", "- ", t, flags=_M)
         t = re.sub(r"^ {0,3}>[ \t]?", "", t, flags=_M)
-        t = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\n]*\)", r"\1", t)
+        t = re.sub(_LINK, lambda m: m[0][m[0].index("[") + 1 : m[0].index("](")], t)
         t = re.sub(r"\*\*([^*\n]+)\*\*|~~([^~\n]+)~~", lambda m: m[1] or m[2], t)
-        t = re.sub(r"(?<![\w*])\*(?=[^\s*])([^*\n]*[^\s*])\*(?![\w*])|(?<!\w)__?(?=[^\s_])([^_\n]*[^\s_])__?(?!\w)|(?<![\w`])`([^`\n]+)`(?![\w`])", lambda m: m[1] or m[2] or m[3], t)
+        t = re.sub(r"(?<![\w*])\*(?=[^\s*])([^*\n]*[^\s*])\*(?![\w*])|(?<!\w)(?!__[a-z0-9]+__(?!\w))__?(?=[^\s_])([^_\n]*[^\s_])__?(?!\w)|(?<![\w`])`([^`\n]+)`(?![\w`])", lambda m: m[1] or m[2] or m[3], t)
     elif lang == "latex":
         t = TEX_HEADING.sub(lambda m: "\n" + "#" * (1 + len(m[1]) // 3) + " " + m[2] + "\n", t)
         t = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]\n]*\])?", "\n", t)
@@ -202,7 +207,7 @@ def clean_text(text: str | None) -> str | None:
         t = ENTITY.sub(lambda m: html.unescape(m[0]), t).replace("\xa0", " ")
     lines = [re.sub(r"[ \t]+", " ", x).strip() for x in t.split("\n")]
     t = "\n".join(x for x, before in zip(lines, ["", *lines]) if x or before)
-    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], t).strip("\n")
+    return re.sub(f"{mark}(\\d+){mark}", lambda m: kept[int(m[1])], t).strip("\n")
 
 
 def _wiki_items(t: str, original: str) -> str:

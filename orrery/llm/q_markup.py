@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.differencing import differenced
 from orrery.llm.markup import clean_documents, part_kinds
 from orrery.sources.tables import table
 
@@ -18,5 +19,11 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_documents(table(spark, sf_dir, "facts"), "record_id", "text").select(F.col("rid").alias("record_id"), "language", "part_kinds", F.col("clean").alias("clean_text"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean}
+def p5_differenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record without the lines it shares with its neighbour: dimension_key for the host, record_id for the path."""
+    out = differenced(table(spark, sf_dir, "facts"), "record_id", "dimension_key", "record_id", "text")
+    return out.select(F.col("rid").alias("record_id"), F.col("partner").alias("partner_id"), "n_lines", "shared_lines", F.col("kept").alias("kept_text"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p5_differenced": p5_differenced}
 ORACLES: dict[str, str] = {}

@@ -1,5 +1,9 @@
+import random
+
 import pytest
 
+from orrery.llm import differencing as D
+from orrery.llm import markup as M
 from orrery.llm.markup import clean_documents, clean_text, constructs, language, part_kinds
 
 PLAIN = [
@@ -56,3 +60,36 @@ def test_frames(spark):
     got = {r["rid"]: r["clean"] for r in clean_documents(df, "part_kind", "clean").collect()}
     assert set(got) == {"1", "2", "3", "4", "5"} and got["2"] is None and got["4"] == "" and got["3"] == "plain"
     assert part_kinds(df.limit(0), "part_kind", "clean").count() == 0
+
+
+@pytest.mark.parametrize("text", ["call __init__ first", "Readings:\n- 5 C\n- 7 C", "see [3](page 4)", "a < b and c > d", "cost $5 and $6"])
+def test_plain_text_with_the_same_signs(text):
+    assert M.constructs(text) == set() and M.clean_text(text) == text
+
+
+def test_placeholders_never_meet_the_text():
+    text = "a \x000\x00 b \U000f00000\U000f0000\n\n```\ncode\n```\nand **c**"
+    assert M.clean_text(text) == "a \x000\x00 b \U000f00000\U000f0000\n\n```\ncode\n```\n\nand c"
+
+
+def test_common_lines_against_dynamic_programming():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        at = D.common_lines(a, b)
+        assert len(at) == best[-1][-1] and at == sorted(set(at))
+        it = iter(b)
+        assert all(any(y == a[i] for y in it) for i in at)
+
+
+def test_differencing_deletes_the_frame_of_a_host(spark):
+    frame = "menu\n{}\nfooter"
+    rows = [("1", "h", "/a/x", frame.format("one"), "x"), ("2", "h", "/a/y", frame.format("two"), "x"), ("3", "h", "/b", "three\nfooter", "x"), ("4", "g", "/a/x", frame.format("four"), "x"), ("5", None, None, None, "x"), ("1", "h", "/a/x", frame.format("one"), "x"), (None, "h", "/", "menu", "x"), ("6", None, "p", "", "x")]
+    got = {r["rid"]: (r["partner"], r["n_lines"], r["shared_lines"], r["kept"]) for r in D.differenced(spark.createDataFrame(rows, "id string, host string, path string, txt string, place string"), "id", "host", "path", "txt").collect()}
+    assert got == {"1": ("2", 3, 2, "one"), "2": ("1", 3, 2, "two"), "3": ("2", 2, 1, "three"), "4": (None, 3, 0, frame.format("four")), "5": ("6", 0, 0, None), "6": ("5", 1, 0, "")}
+    empty = spark.createDataFrame([], "id string, host string, path string, txt string")
+    assert D.differenced(empty, "id", "host", "path", "txt").count() == 0
