@@ -4,7 +4,7 @@ Every record becomes the set of its runs of k words. Records with equal sets
 are one class (named by a 128-bit digest), so copies never multiply. For each
 class 64 minima are taken and their two low bits packed into 128 bits.
 
-Bands. A sketch of the whole collection (counters of a fixed size) tells
+Bands. A sketch of the whole collection (counters of a bounded number) tells
 which runs are common. If more than (1 - t) of a set's runs are uncommon, any
 partner with a Jaccard similarity >= t shares an uncommon run, so minima over
 uncommon runs alone make its bands: one row each, and hence buckets no larger
@@ -38,11 +38,17 @@ from orrery.runtime import at_most, spread, stage
 MINIMA, LOW_BITS = 64, 2
 RARE_BANDS = 14
 FULL_BANDS, FULL_ROWS = 32, 3
-SKETCH_BITS = 22
+#: Sets with so many times the uncommon runs that they need still enter the bands over all runs.
+POOR = 1.5
+#: Bits of a run hash that number the counters of the sketch: about one counter a run, within these bounds.
+SKETCH_BITS = (22, 26)
 COMMON_ABOVE = 128
-WANTED_BITS = 24
+#: Bits of the sketch of wanted ids: eight slots an id, within these bounds.
+WANTED_BITS = (24, 28)
 HOT_BUCKET = 4096
 BATCH_WORDS = 400_000
+#: Bytes of band entries that a task pairs at once.
+PART_BYTES = 64 << 20
 _MULT = odd_constants(MINIMA, 4711)
 _RARE_MULT = odd_constants(RARE_BANDS, 4712)
 _FULL_MULT = odd_constants(FULL_BANDS * FULL_ROWS, 4713)
@@ -68,37 +74,50 @@ def _texts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[
         yield ids, hasher(words), np.array(sizes)
 
 
-def _sketch(batches, k: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Counters of run hashes, in chunks of 2**16."""
-    total = np.zeros(1 << SKETCH_BITS, np.uint32)
-    any_ = False
-    for _, tokens, sizes in _texts(batches, min_words):
+def _between(n: int, bounds: tuple[int, int]) -> int:
+    """Bits for n slots, within bounds."""
+    return min(max(int(n).bit_length(), bounds[0]), bounds[1])
+
+
+def _sketch(batches, k: int, min_words: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counters of run hashes (255 stands for more), in chunks of 2**16; chunk -1 counts the sets."""
+    total = np.zeros(1 << bits, np.uint8)
+    sets = 0
+    for ids, tokens, sizes in _texts(batches, min_words):
         h, _, _ = run_sets(tokens, sizes, k)
-        at, n = np.unique((h >> U64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-        total[at] += n.astype(np.uint32)
-        any_ = True
-    if any_:
+        at, n = np.unique((h >> U64(64 - bits)).astype(np.int64), return_counts=True)
+        total[at] = np.minimum(total[at] + n, 255)
+        sets += len(ids)
+    if sets:
         chunks = total.reshape(-1, 1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks), dtype=np.int32)), pa.array([c.tobytes() for c in chunks], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(chunks), dtype=np.int32), np.int32(-1))), pa.array([*(c.tobytes() for c in chunks), sets.to_bytes(8, "little")], pa.binary())], names=["chunk", "counts"])
 
 
 def _sum_sketch(batches) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            sums[c] = sums.get(c, 0) + np.frombuffer(x, np.uint32).astype(np.uint64)
+            sums[c] = sums.get(c, 0) + (np.frombuffer(x, np.uint8).astype(np.uint32) if c >= 0 else int.from_bytes(x, "little"))
     for c, x in sums.items():
-        mean = float(x.mean())
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(x > COMMON_ABOVE + 2 * mean).tobytes()], pa.binary())], names=["chunk", "common"])
+        out = x.to_bytes(8, "little") if c < 0 else np.packbits(x > COMMON_ABOVE + 2 * float(x.mean())).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([out], pa.binary())], names=["chunk", "common"])
 
 
-def common_runs(records: DataFrame, k: int, min_words: int) -> np.ndarray:
-    """Packed bits: whether a run hash with these leading bits is common. Its size is fixed by SKETCH_BITS."""
-    parts = records.mapInArrow(partial(_sketch, k=k, min_words=min_words), "chunk int, counts binary").repartition("chunk")
-    bits = np.zeros((1 << SKETCH_BITS) // 8, np.uint8)
-    for row in parts.mapInArrow(_sum_sketch, "chunk int, common binary").collect():
-        bits[row["chunk"] << 13 : (row["chunk"] + 1) << 13] = np.frombuffer(row["common"], np.uint8)
-    return bits
+def common_runs(records: DataFrame, k: int, min_words: int) -> tuple[np.ndarray, int]:
+    """(packed bits, sets): whether a run hash with these leading bits is common, and the number of sets.
+
+    The sketch counts every run of every record; it has 2**26 counters at
+    most, and what calls a run common is above the mean where they are full.
+    """
+    bits = _between(16 * records.count(), SKETCH_BITS)
+    parts = records.mapInArrow(partial(_sketch, k=k, min_words=min_words, bits=bits), "chunk int, counts binary").repartition("chunk")
+    common, sets = np.zeros((1 << bits) // 8, np.uint8), 0
+    for row in parts.mapInArrow(_sum_sketch, "chunk int, common binary").toLocalIterator():
+        if row["chunk"] < 0:
+            sets = int.from_bytes(row["common"], "little")
+        else:
+            common[row["chunk"] << 13 : (row["chunk"] + 1) << 13] = np.frombuffer(row["common"], np.uint8)
+    return common, sets
 
 
 def _minima(h: np.ndarray, counts: np.ndarray, mult: np.ndarray) -> np.ndarray:
@@ -122,9 +141,15 @@ def _pack(minima: np.ndarray) -> np.ndarray:
 _ENTRY = np.dtype([("key", "<u4"), ("cls", "<u8"), ("s0", "<u8"), ("s1", "<u8")])
 
 
-def _members_and_entries(batches, k: int, min_words: int, threshold: float, common, parts: int) -> Iterator[pa.RecordBatch]:
+def prefix_sizes(counts: np.ndarray, threshold: float) -> np.ndarray:
+    """How many runs of a set of each size must be looked at so that, in one order of all runs, similar sets share one."""
+    return counts - np.ceil(threshold * counts - 1e-9).astype(np.int64) + 1
+
+
+def _members_and_entries(batches, k: int, min_words: int, threshold: float, common, parts: int, exact: bool) -> Iterator[pa.RecordBatch]:
     """Membership rows (rid, class digest, set size) and blobs of band entries by partition."""
     common = common.value
+    bits = (8 * len(common)).bit_length() - 1
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n_held = 0
 
@@ -155,7 +180,7 @@ def _members_and_entries(batches, k: int, min_words: int, threshold: float, comm
         new = np.cumsum(pick) - 1
         doc, counts, cls = new[doc], counts[pick], dig[pick, 0]
         sig = _pack(_minima(h, counts, _MULT))
-        slot = (h >> U64(64 - SKETCH_BITS)).astype(np.int64)
+        slot = (h >> U64(64 - bits)).astype(np.int64)
         rare = (common[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 0
         n_rare = np.bincount(doc[rare], minlength=len(counts))
 
@@ -168,11 +193,16 @@ def _members_and_entries(batches, k: int, min_words: int, threshold: float, comm
             held.append((keys.ravel() & U64(0xFFFFFFFF), row))
             return keys.size
 
-        has = n_rare > 0
+        has, poor = n_rare > 0, n_rare <= np.floor(POOR * (1 - threshold) * counts + 1e-9)
+        if exact:  # every run of the prefix is a key of its own: uncommon runs first, then by hash
+            order = np.lexsort((h, ~rare, doc))
+            at = np.concatenate([[0], np.cumsum(counts)])[:-1]
+            first = np.arange(len(h)) - np.repeat(at, counts) < np.repeat(prefix_sizes(counts, threshold), counts)
+            n_held += entries(doc[first], h[order][first])
+            has[:], poor[:] = False, False
         if has.any():
             m = _minima(h[rare], n_rare[has], _RARE_MULT)
             n_held += entries(np.flatnonzero(has), m + np.arange(RARE_BANDS, dtype=U64)[:, None])
-        poor = n_rare <= np.floor((1 - threshold) * counts + 1e-9)
         if poor.any():
             m = _minima(h[poor[doc]], counts[poor], _FULL_MULT).reshape(FULL_BANDS, FULL_ROWS, -1)
             key = np.zeros((FULL_BANDS, m.shape[2]), U64)
@@ -193,7 +223,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(same) / MINIMA - chance) / (1 - chance)
 
 
-def cut_off(threshold: float, sigmas: float = 3.0) -> float:
+def cut_off(threshold: float, sigmas: float = 4.0) -> float:
     """The estimate below which a pair is given up: ``sigmas`` standard deviations under the threshold."""
     c = 2.0**-LOW_BITS
     p = c + (1 - c) * threshold
@@ -208,8 +238,13 @@ def _pairs_out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _buckets(batches, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes in a bucket whose estimate reaches ``least``; entries of hot buckets and membership rows as they are."""
-    blobs: dict[int, list[bytes]] = {}
+    """Pairs of classes in a bucket whose estimate reaches ``least``; entries of hot buckets and membership rows as they are.
+
+    Rows are ordered by part; one part's entries are held at a time.
+    """
+    blobs: list[bytes] = []
+    part = None
+
     for b in batches:
         is_row = b.column("rid").is_valid()
         rows = b.filter(is_row)
@@ -217,41 +252,49 @@ def _buckets(batches, least: float) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("cls"), rows.column("cls2"), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())], names=["rid", "a", "b", "hot", "entry"])
         rest = b.filter(pc.invert(is_row))
         for p, blob in zip(rest.column("part").to_pylist(), rest.column("blob").to_pylist()):
-            blobs.setdefault(p, []).append(blob)
-    for p in list(blobs):
-        e = np.frombuffer(b"".join(blobs.pop(p)), _ENTRY)
-        e = e[np.lexsort((e["cls"], e["key"]))]
-        new = np.ones(len(e), bool)
-        new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["cls"][1:] != e["cls"][:-1])
-        e = e[new]
-        start = np.ones(len(e), bool)
-        start[1:] = e["key"][1:] != e["key"][:-1]
-        at = np.flatnonzero(start)
-        size = np.diff(np.append(at, len(e)))
-        for i in np.flatnonzero(size > HOT_BUCKET):
-            rows = e[at[i] : at[i] + size[i]]
-            hot = (p << 32) + int(rows["key"][0])
-            for j in range(0, len(rows), 10_000):
-                part = rows[j : j + 10_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, hot, np.int64)), pa.array([x.tobytes() for x in part], pa.binary())], names=["rid", "a", "b", "hot", "entry"])
-        left = np.repeat(np.where((size > 1) & (size <= HOT_BUCKET), size, 0), size)
-        rank = np.arange(len(e)) - np.repeat(at, size)
-        todo = np.flatnonzero(left > 1)
-        found, n_found, d = [], 0, 1
-        while len(todo):
-            todo = todo[rank[todo] + d < left[todo]]
-            x, y = e[todo], e[todo + d]
-            ok = estimate(x, y) >= least
-            if ok.any():
-                found.append((x["cls"][ok], y["cls"][ok]))
-                n_found += int(ok.sum())
-            if n_found > 500_000:
-                yield _pairs_out(found)
-                found, n_found = [], 0
-            d += 1
-        if found:
+            if p != part and blobs:
+                yield from _paired(part, blobs, least)
+                blobs = []
+            part = p
+            blobs.append(blob)
+    if blobs:
+        yield from _paired(part, blobs, least)
+
+
+def _paired(p: int, blobs: list[bytes], least: float) -> Iterator[pa.RecordBatch]:
+    e = np.frombuffer(b"".join(blobs), _ENTRY)
+    e = e[np.lexsort((e["cls"], e["key"]))]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["cls"][1:] != e["cls"][:-1])
+    e = e[new]
+    start = np.ones(len(e), bool)
+    start[1:] = e["key"][1:] != e["key"][:-1]
+    at = np.flatnonzero(start)
+    size = np.diff(np.append(at, len(e)))
+    for i in np.flatnonzero(size > HOT_BUCKET):
+        rows = e[at[i] : at[i] + size[i]]
+        hot = (p << 32) + int(rows["key"][0])
+        for j in range(0, len(rows), 10_000):
+            part = rows[j : j + 10_000]
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, hot, np.int64)), pa.array([x.tobytes() for x in part], pa.binary())], names=["rid", "a", "b", "hot", "entry"])
+    left = np.repeat(np.where((size > 1) & (size <= HOT_BUCKET), size, 0), size)
+    rank = np.arange(len(e)) - np.repeat(at, size)
+    todo = np.flatnonzero(left > 1)
+    found, n_found, d = [], 0, 1
+    while len(todo):
+        todo = todo[rank[todo] + d < left[todo]]
+        x, y = e[todo], e[todo + d]
+        ok = estimate(x, y) >= least
+        if ok.any():
+            found.append((x["cls"][ok], y["cls"][ok]))
+            n_found += int(ok.sum())
+        if n_found > 500_000:
             yield _pairs_out(found)
+            found, n_found = [], 0
+        d += 1
+    if found:
+        yield _pairs_out(found)
 
 
 def _block_pairs(batches, least: float) -> Iterator[pa.RecordBatch]:
@@ -278,15 +321,15 @@ def _block_pairs(batches, least: float) -> Iterator[pa.RecordBatch]:
 _PAIRS = "rid string, a long, b long, hot long, entry binary"
 
 
-def _slot(rid: str) -> int:
-    return xxhash.xxh3_64_intdigest(rid) >> (64 - WANTED_BITS)
+def _slot(rid: str, bits: int) -> int:
+    return xxhash.xxh3_64_intdigest(rid) >> (64 - bits)
 
 
-def _wanted(batches) -> Iterator[pa.RecordBatch]:
+def _wanted(batches, n_bits: int) -> Iterator[pa.RecordBatch]:
     """Set bits of the wanted record ids, in chunks of 2**16."""
-    bits = np.zeros(1 << WANTED_BITS, bool)
+    bits = np.zeros(1 << n_bits, bool)
     for b in batches:
-        bits[[_slot(r) for r in b.column(0).to_pylist()]] = True
+        bits[[_slot(r, n_bits) for r in b.column(0).to_pylist()]] = True
     chunks = bits.reshape(-1, 1 << 16)
     used = np.flatnonzero(chunks.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([np.packbits(chunks[c]).tobytes() for c in used], pa.binary())], names=["chunk", "bits"])
@@ -302,9 +345,10 @@ def _or_chunks(batches) -> Iterator[pa.RecordBatch]:
 
 
 def wanted_sketch(rids: DataFrame) -> np.ndarray:
-    """A sketch of fixed size that holds every id of ``rids`` (and a few others): it thins a scan before its join."""
-    bits = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
-    parts = rids.mapInArrow(_wanted, "chunk int, bits binary").repartition("chunk").mapInArrow(_or_chunks, "chunk int, bits binary")
+    """A sketch of bounded size that holds every id of ``rids`` (and a few others): it thins a scan before its join."""
+    n_bits = _between(8 * rids.count(), WANTED_BITS)
+    bits = np.zeros((1 << n_bits) // 8, np.uint8)
+    parts = rids.mapInArrow(partial(_wanted, n_bits=n_bits), "chunk int, bits binary").repartition("chunk").mapInArrow(_or_chunks, "chunk int, bits binary")
     for row in parts.toLocalIterator():
         bits[row["chunk"] << 13 : (row["chunk"] + 1) << 13] = np.frombuffer(row["bits"], np.uint8)
     return bits
@@ -312,10 +356,11 @@ def wanted_sketch(rids: DataFrame) -> np.ndarray:
 
 def _sets(batches, k: int, min_words: int, wanted) -> Iterator[pa.RecordBatch]:
     bits = wanted.value
+    n_bits = (8 * len(bits)).bit_length() - 1
 
     def thinned():
         for b in batches:
-            at = np.array([-1 if r is None else _slot(r) for r in b.column(0).to_pylist()], np.int64)
+            at = np.array([-1 if r is None else _slot(r, n_bits) for r in b.column(0).to_pylist()], np.int64)
             keep = (at >= 0) & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
             if keep.any():
                 yield b.filter(pa.array(keep))
@@ -337,7 +382,7 @@ def _exact(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("rid_a"), b.column("rid_b"), pa.array(j, pa.float64())], names=["rid_a", "rid_b", "jaccard"])
 
 
-def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, threshold: float = 0.8, min_words: int | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, threshold: float = 0.8, min_words: int | None = None, parts: int | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): the classes of equal run sets, and the similar pairs between classes.
 
     members: rid, rep (the least record id of its class; one row per record
@@ -345,16 +390,22 @@ def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, t
     jaccard >= threshold, each pair of classes once. Rows with the same id
     are one record; null ids are left out; null, empty and short texts have
     no run and are not members. An empty table gives two empty frames.
+
+    The bands miss a pair at the threshold with a small probability, and so
+    does the cut on the estimate. With ``exact`` nothing is missed: the keys
+    are then the runs of each set's prefix, and every pair in a bucket is
+    checked. That costs entries in proportion to the words of a text.
     """
     spark = records.sparkSession
     least_words = max(min_words or k, k)
     src = spread(records.select(F.col(record_id).cast("string").alias("rid"), F.col(text).alias("txt")).where("rid is not null"))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or 4 * shuffle
-    common = spark.sparkContext.broadcast(common_runs(src, k, least_words))
-    least = cut_off(threshold)
-    entries = src.mapInArrow(partial(_members_and_entries, k=k, min_words=least_words, threshold=threshold, common=common, parts=parts), "rid string, cls long, cls2 long, part int, blob binary")
-    found = stage(entries.repartition(min(parts, 4 * shuffle), "part").mapInArrow(partial(_buckets, least=least), _PAIRS).withColumn("kind", F.when(F.col("rid").isNotNull(), 0).when(F.col("hot").isNull(), 1).otherwise(2)), "buckets", by="kind")
+    common, sets = common_runs(src, k, least_words)
+    parts = parts or max(4 * shuffle, -(-sets * (RARE_BANDS + FULL_BANDS) * _ENTRY.itemsize // PART_BYTES))
+    common = spark.sparkContext.broadcast(common)
+    least = -1.0 if exact else cut_off(threshold)
+    entries = src.mapInArrow(partial(_members_and_entries, k=k, min_words=least_words, threshold=threshold, common=common, parts=parts, exact=exact), "rid string, cls long, cls2 long, part int, blob binary")
+    found = stage(entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(partial(_buckets, least=least), _PAIRS).withColumn("kind", F.when(F.col("rid").isNotNull(), 0).when(F.col("hot").isNull(), 1).otherwise(2)), "buckets", by="kind")
     pairs = found.where("kind = 1").select("a", "b")
     hot = found.where("kind = 2").select("hot", "entry")
     if not at_most(hot, 0):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.near_duplicates import components, near_duplicates, similar_pairs
+from orrery.runtime import side_by_side
 from orrery.sources.tables import table
 
 _TABLES = (("utterances", "utterance_id"), ("facts", "record_id"))
@@ -13,21 +16,25 @@ _TABLES = (("utterances", "utterance_id"), ("facts", "record_id"))
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 3 words, similarity 0.5 and 12 words at least, as the test data's statement fixes them."""
-    parts = []
-    for name, rid in _TABLES:
+
+    def pairs(name: str, rid: str) -> DataFrame:
         members, links = near_duplicates(table(spark, sf_dir, name), rid, "text", k=3, threshold=0.5, min_words=12)
-        parts.append(similar_pairs(members, links).select(F.lit(name).alias("tbl"), "key_a", "key_b"))
-    return parts[0].unionByName(parts[1])
+        return similar_pairs(members, links).select(F.lit(name).alias("tbl"), "key_a", "key_b")
+
+    a, b = side_by_side(*[partial(pairs, *t) for t in _TABLES])
+    return a.unionByName(b)
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record with a text of 5 words or more: its class of copies and its group at similarity 0.8 of 5-word runs."""
-    parts = []
-    for name, rid in _TABLES:
+
+    def groups(name: str, rid: str) -> DataFrame:
         members, links = near_duplicates(table(spark, sf_dir, name), rid, "text")
         roots = components(links, "rep_a", "rep_b")
-        parts.append(members.join(roots, F.col("rep") == F.col("node"), "left").select(F.lit(name).alias("tbl"), F.col("rid").alias("record_key"), F.col("rep").alias("class_key"), F.coalesce("root", "rep").alias("group_key")))
-    return parts[0].unionByName(parts[1])
+        return members.join(roots, F.col("rep") == F.col("node"), "left").select(F.lit(name).alias("tbl"), F.col("rid").alias("record_key"), F.col("rep").alias("class_key"), F.coalesce("root", "rep").alias("group_key"))
+
+    a, b = side_by_side(*[partial(groups, *t) for t in _TABLES])
+    return a.unionByName(b)
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}

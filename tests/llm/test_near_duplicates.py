@@ -176,3 +176,27 @@ def test_parse_finds_the_longest_factors_and_all_links(seed):
     for i, n in zip(x.tolist(), name.tolist()):
         members.setdefault(n, set()).add(i)
     assert {p for s in members.values() for p in itertools.combinations(sorted(s), 2) if cls[p[0]] != cls[p[1]]} == want_pairs
+
+
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_the_exact_mode_misses_nothing(spark, monkeypatch, hot):
+    monkeypatch.setattr(N, "HOT_BUCKET", hot)
+    monkeypatch.setattr(N, "COMMON_ABOVE", 3)
+    rng = random.Random(21)
+    rows = corpus(rng)
+    df = spark.createDataFrame(rows + [("n", None), ("e", "")], "id string, text string").repartition(3)
+    members, links = N.near_duplicates(df, "id", "text", k=3, threshold=0.5, min_words=12, exact=True)
+    sets = {i: shingles(t, 3) for i, t in rows if len(f1_words(t)) >= 12}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in N.similar_pairs(members, links).collect()} == want
+
+
+def test_prefixes_share_a_run():
+    rng = random.Random(2)
+    for _ in range(400):
+        a = set(rng.sample(range(60), rng.randrange(1, 30)))
+        b = set(rng.sample(sorted(a), rng.randrange(len(a) + 1))) | set(rng.sample(range(60), rng.randrange(1, 12)))
+        for t in (0.5, 0.8):
+            if len(a & b) >= t * len(a | b):
+                p, q = (sorted(s)[: N.prefix_sizes(np.array([len(s)]), t)[0]] for s in (a, b))
+                assert set(p) & set(q)
