@@ -2,9 +2,10 @@
 
 A seed is a fixed mask over a window of words; the words under its zeros are
 ignored. The masks are chosen by the number of substituted words so that none
-of their places can hide a leak. The masked windows of all test items are hashed and joined with
-those of every document: a broadcast of sorted hashes while their number is
-proven small, a shuffled join beyond. A hit names a diagonal: the two texts are
+of their places can hide a leak. The masked windows of all test items are
+hashed and joined with those of every document: a broadcast of sorted hashes
+while their number is proven small; beyond, a sketch of bounded size thins the
+documents' windows before they are shuffled. A hit names a diagonal: the two texts are
 laid on each other there, over the whole length of the item, and the best
 stretch of agreeing words is found, with a budget of substituted words.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.words import U64, Hasher, f2_words, mix, odd_constants
-from orrery.runtime import at_most, spread, stage
+from orrery.runtime import at_most, hot_join, spread, stage
 
 #: Words of a run that counts as a leak.
 RUN = 12
@@ -29,6 +30,8 @@ MASKS = ("1" * RUN, "1101110111", "11101111", "1110010111")
 FAMILIES = {0: MASKS[:1], 1: MASKS[1:2], 2: MASKS[2:]}
 #: Masked windows of items up to which they are broadcast (24 bytes each).
 BROADCAST_SEEDS = 1_000_000
+#: Documents that hold one seed, or one item, beyond which it is broadcast to them in the shuffled plan.
+HOT_SEED = 100_000
 BATCH_WORDS = 300_000
 
 
@@ -153,14 +156,47 @@ def _scan(batches, seeds, substitutions: int) -> Iterator[pa.RecordBatch]:
         yield portion()
 
 
-def _doc_seeds(batches, masks: list[str]) -> Iterator[pa.RecordBatch]:
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U64(64 - bits)).astype(np.int64)
+
+
+def _seed_bits(batches, bits: int) -> Iterator[pa.RecordBatch]:
+    """Bits of the item seeds by their leading bits, in chunks of 2**16."""
+    held = np.zeros(1 << bits, bool)
+    for b in batches:
+        held[_slots(np.array(b.column(0)).view(U64), bits)] = True
+    chunks = held.reshape(-1, 1 << 16)
+    used = np.flatnonzero(chunks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([np.packbits(chunks[c]).tobytes() for c in used], pa.binary())], names=["chunk", "bits"])
+
+
+def _seed_sketch(seeds: DataFrame) -> np.ndarray:
+    """Packed bits that hold every item seed: a corpus seed without its bit meets no item. 32 MB at most, whatever the number of seeds."""
+    bits = min(max((16 * seeds.count()).bit_length(), 20), 28)
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in seeds.select("h").mapInArrow(partial(_seed_bits, bits=bits), "chunk int, bits binary").toLocalIterator():
+        out[row["chunk"] << 13 : (row["chunk"] + 1) << 13] |= np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _doc_seeds(batches, masks: list[str], sketch) -> Iterator[pa.RecordBatch]:
+    """The seeds of documents that may be an item's, as the sketch says."""
+    bits = sketch.value
+    width = (8 * len(bits)).bit_length() - 1
     hasher = Hasher()
     for b in batches:
+        rows = [[], [], [], []]
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             t = hasher(f2_words(text))
             for mask in masks:
-                h = masked(t, mask).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([mask] * len(h), pa.string()), pa.array(h), pa.array([doc] * len(h), pa.string()), pa.array(np.arange(len(h)))], names=["mask", "h", "doc", "dpos"])
+                h = masked(t, mask)
+                slot = _slots(h, width)
+                at = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                rows[0] += [mask] * len(at)
+                rows[1] += h[at].view(np.int64).tolist()
+                rows[2] += [doc] * len(at)
+                rows[3] += at.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["mask", "h", "doc", "dpos"])
 
 
 def _check_pairs(batches, substitutions: int) -> Iterator[pa.RecordBatch]:
@@ -205,8 +241,15 @@ def leaked_items(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
         found = docs.mapInArrow(partial(_scan, seeds=spark.sparkContext.broadcast((tables, texts)), substitutions=substitutions), _OUT)
     else:
         masks = [r["mask"] for r in seeds.select("mask").distinct().collect()]  # the family and one per word count below RUN
-        hits = docs.mapInArrow(partial(_doc_seeds, masks=masks), "mask string, h long, doc string, dpos long").join(seeds, ["mask", "h"])
+        sketch = spark.sparkContext.broadcast(_seed_sketch(seeds))
+        mine = stage(docs.mapInArrow(partial(_doc_seeds, masks=masks, sketch=sketch), "mask string, h long, doc string, dpos long"), "corpus-seeds")
+        # a seed that very many documents hold is broadcast to them
+        busy = mine.groupBy("mask", "h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEED)
+        hits = hot_join(mine, seeds.join(busy, ["mask", "h"], "left"), ["mask", "h"], F.col("n").isNotNull())
         # a diagonal is verified whole: any hit names it, and a pair has no more of them than words
         hits = hits.select("doc", "item", (F.col("dpos") - F.col("pos")).alias("shift")).distinct().groupBy("doc", "item").agg(F.collect_list("shift").alias("shifts"))
-        found = hits.join(docs, "doc").join(probes, "item").mapInArrow(partial(_check_pairs, substitutions=substitutions), _OUT)
+        hits = stage(hits, "leak-hits")
+        wide = hits.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEED)
+        texts = hot_join(hits, probes.join(wide, "item", "left"), ["item"], F.col("n").isNotNull()).drop("n")
+        found = texts.join(docs, "doc").mapInArrow(partial(_check_pairs, substitutions=substitutions), _OUT)
     return found.groupBy("doc", "item").agg(F.max(F.struct("words", "substitutions")).alias("b")).select("doc", "item", "b.words", "b.substitutions")

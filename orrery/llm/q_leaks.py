@@ -38,4 +38,32 @@ dg AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN grams USING (n, g)
 """
 
-ORACLES = {"p7_found": _SQL}
+_WORDS = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS MATERIALIZED (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+"""
+
+
+def _best(substitutions: int) -> str:
+    """Best stretches by comparing whole diagonals: 12 equal words with so many others inside hold a run of 12 // (substitutions + 1) equal ones, which names the diagonal."""
+    run = 12 // (substitutions + 1)
+    size = f"CASE WHEN len(w) >= 12 THEN {run} ELSE len(w) END"
+    cuts = ", ".join(f"{{'equal': list_max(list_transform(range(1, len(c) - {s}), lambda j: c[j + {s + 1}] - c[j])) - 1 - {s}, 'less': -{s}}}" for s in range(substitutions + 1))
+    return (
+        _WORDS
+        + f"""ig AS (SELECT item_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT item_id, w, {size} AS n, unnest(range(1, len(w) - {size} + 2)) AS p FROM i WHERE len(w) > 0)),
+dg AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM ig) WHERE len(w) >= n)),
+diag AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, dg.p - ig.p AS shift FROM dg JOIN ig USING (n, g)),
+laid AS (SELECT doc_id, item_id, d.w AS dw, i.w AS iw, shift, greatest(0, -shift) AS lo, least(len(i.w), len(d.w) - shift) AS hi FROM diag JOIN d USING (doc_id) JOIN i USING (item_id)),
+cut AS (SELECT doc_id, item_id, len(iw) AS n, list_concat(list_concat([lo - 1], list_filter(range(lo, hi), lambda x: iw[x + 1] <> dw[x + shift + 1])), [hi]) AS c FROM laid WHERE hi > lo),
+best AS (SELECT doc_id, item_id, n, list_max(list_filter([{cuts}], lambda x: x.equal IS NOT NULL)) AS b FROM cut),
+leak AS (SELECT doc_id, item_id, max({{'equal': b.equal, 'words': b.equal - b.less, 'less': -b.less}}) AS b FROM best WHERE b.equal >= least(12, n) GROUP BY ALL)
+"""
+    )
+
+
+ORACLES = {
+    "p7_found": _SQL,
+    "p7_items": _best(0) + "SELECT item_id, count(*) AS n_documents, max(b.words)::BIGINT AS longest_words FROM leak GROUP BY 1",
+    "p7_tolerant": _best(2) + "SELECT doc_id, item_id, b.words::BIGINT AS words, b.less::BIGINT AS substitutions FROM leak",
+}

@@ -151,3 +151,22 @@ def test_last_seen_counters_keep_a_record_that_goes_on(spark):
         at += n
     got = {t: (o, n, x) for t, o, n, x in zip(*seen.rows([str(r) for r in range(60)]))}
     assert got == {t: (words.count(t), len({r for w, r in zip(words, record) if w == t}), str(max(r for w, r in zip(words, record) if w == t))) for t in set(words)}
+
+
+@pytest.mark.parametrize("substitutions", [0, 1, 2])
+def test_both_plans_find_the_same_with_hot_seeds(spark, monkeypatch, substitutions):
+    monkeypatch.setattr(leaks, "HOT_SEED", 3)
+    rng = random.Random(substitutions)
+    item = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    items = [("long", item(24)), ("edge", item(15)), ("short", item(5)), ("twin", item(13))]
+    docs = []
+    for name, w in items * 12:
+        w = list(w)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = "other"
+        docs.append(" ".join(item(rng.randrange(9)) + w[rng.randrange(3) :] + item(rng.randrange(9))))
+    docs += ["w0 " * 40, "", None]
+    d = spark.createDataFrame(list(enumerate(docs)), "id int, t string").repartition(3)
+    e = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "i string, t string")
+    one, two = (sorted(map(tuple, leaks.leaked_items(d, "id", "t", e, "i", "t", substitutions, bound).collect())) for bound in (10**6, 0))
+    assert one == two and len(one) > 10
