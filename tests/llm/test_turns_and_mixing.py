@@ -199,3 +199,55 @@ def test_a_turn_over_many_partitions_keeps_its_text_in_order(spark):
     rows = [("s", f"s-{i:04d}", None, "A" if i % 300 == 0 else None, f"w{i:04d}", None, None) for i in range(300)]
     turns = T.speaker_turns(T.ordered_records(spark.createDataFrame(rows, UTTERANCES), spark.createDataFrame([], SPEAKERS), True)).collect()
     assert [(t["first_id"], t["last_id"], t["n"], t["text"]) for t in turns] == [("s-0000", "s-0299", 300, " ".join(f"w{i:04d}" for i in range(300)))]
+
+
+def plain_min_cost_flow(arcs, start, end):
+    """(flow, cost) by one cheapest path at a time."""
+    left = {}
+    for u, v, cap, cost in arcs:
+        left.setdefault((u, v, cost), 0)
+        left[u, v, cost] += cap
+        left.setdefault((v, u, -cost), 0)
+    flow = total = 0
+    while True:
+        dist, via = {start: 0}, {}
+        for _ in range(60):
+            for (u, v, c), cap in left.items():
+                if cap > 0 and u in dist and dist[u] + c < dist.get(v, 10**9):
+                    dist[v], via[v] = dist[u] + c, (u, v, c)
+        if end not in dist:
+            return flow, total
+        path, at = [], end
+        while at != start:
+            path.append(via[at])
+            at = via[at][0]
+        push = min(left[p] for p in path)
+        for u, v, c in path:
+            left[u, v, c] -= push
+            left[v, u, -c] += push
+        flow, total = flow + push, total + push * dist[end]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_is_greatest_and_cheapest(seed):
+    rng = random.Random(seed)
+    sources = list("abcd")
+    patterns = {tuple(sorted(rng.sample(sources, rng.randrange(1, 5)))): rng.randrange(1, 40) for _ in range(9)}
+    quotas, repeats = {s: rng.randrange(0, 90) for s in sources}, {s: rng.randrange(1, 4) for s in sources}
+    arcs = [("s", f"p{i}", t, r) for i, (p, t) in enumerate(patterns.items()) for r in range(max(repeats[x] for x in p))]
+    arcs += [(f"p{i}", x, t * repeats[x], 0) for i, (p, t) in enumerate(patterns.items()) for x in p] + [(x, "t", q, 0) for x, q in quotas.items()]
+    flow = M.min_cost_flow(arcs, "s", "t")
+    assert all(0 <= f <= a[2] for f, a in zip(flow, arcs))
+    for node in {a[1] for a in arcs} - {"t"}:
+        assert sum(f for f, a in zip(flow, arcs) if a[1] == node) == sum(f for f, a in zip(flow, arcs) if a[0] == node)
+    got = sum(f for f, a in zip(flow, arcs) if a[1] == "t"), sum(f * a[3] for f, a in zip(flow, arcs))
+    assert got == plain_min_cost_flow(arcs, "s", "t")
+
+
+def test_flow_of_many_patterns_ends_soon():
+    rng = random.Random(1)
+    sources = [f"s{i}" for i in range(16)]
+    patterns = {tuple(sorted(rng.sample(sources, rng.randrange(1, 9)))): rng.randrange(1, 1000) for _ in range(6000)}
+    total = sum(patterns.values())
+    flow = M.plan(patterns, {s: total // 16 for s in sources}, {s: 1 + i % 3 for i, s in enumerate(sources)})
+    assert sum(flow.values()) == total // 16 * 16
