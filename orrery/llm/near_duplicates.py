@@ -14,7 +14,8 @@ bands of three rows over all runs, so that two poor sets can meet.
 Band entries travel as packed NumPy blobs, not as rows: (key, class, packed
 signature). Within a bucket the similarity is estimated by counting equal
 two-bit fields, corrected for chance collisions, and only pairs near or above
-the threshold leave the task. They are then checked exactly. Buckets above
+the threshold leave the task; a second signature, which travels with the
+membership, thins them once more. They are then checked exactly. Buckets above
 HOT_BUCKET entries are cut into blocks, and each pair of blocks is a task of
 its own: no pair is dropped.
 """
@@ -38,8 +39,6 @@ from orrery.runtime import at_most, spread, stage
 MINIMA, LOW_BITS = 64, 2
 RARE_BANDS = 14
 FULL_BANDS, FULL_ROWS = 32, 3
-#: Sets with so many times the uncommon runs that they need still enter the bands over all runs.
-POOR = 1.5
 #: Bits of a run hash that number the counters of the sketch: about one counter a run, within these bounds.
 SKETCH_BITS = (22, 26)
 COMMON_ABOVE = 128
@@ -50,6 +49,7 @@ BATCH_WORDS = 400_000
 #: Bytes of band entries that a task pairs at once.
 PART_BYTES = 64 << 20
 _MULT = odd_constants(MINIMA, 4711)
+_MORE_MULT = odd_constants(MINIMA, 4714)
 _RARE_MULT = odd_constants(RARE_BANDS, 4712)
 _FULL_MULT = odd_constants(FULL_BANDS * FULL_ROWS, 4713)
 
@@ -147,7 +147,7 @@ def prefix_sizes(counts: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _members_and_entries(batches, k: int, min_words: int, threshold: float, common, parts: int, exact: bool) -> Iterator[pa.RecordBatch]:
-    """Membership rows (rid, class digest, set size) and blobs of band entries by partition."""
+    """Membership rows (rid, class digest, two signatures) and blobs of band entries by partition."""
     common = common.value
     bits = (8 * len(common)).bit_length() - 1
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -171,7 +171,8 @@ def _members_and_entries(batches, k: int, min_words: int, threshold: float, comm
         raw = h.tobytes()
         dig = np.array([np.frombuffer(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest(), U64) for a, b in zip(at[:-1], at[1:])]).reshape(-1, 2)
         n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(dig[:, 0].view(np.int64)), pa.array(dig[:, 1].view(np.int64)), pa.array((dig[:, 0] % U64(parts)).astype(np.int32)), pa.nulls(n, pa.binary())], names=["rid", "cls", "cls2", "part", "blob"])
+        whole = np.concatenate([_pack(_minima(h, counts, m)) for m in (_MULT, _MORE_MULT)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(dig[:, 0].view(np.int64)), pa.array(dig[:, 1].view(np.int64)), pa.array((dig[:, 0] % U64(parts)).astype(np.int32)), pa.array([x.tobytes() for x in whole], pa.binary())], names=["rid", "cls", "cls2", "part", "blob"])
         _, first = np.unique(dig[:, 0], return_index=True)  # copies within the portion enter bands once
         pick = np.zeros(n, bool)
         pick[first] = True
@@ -179,7 +180,7 @@ def _members_and_entries(batches, k: int, min_words: int, threshold: float, comm
         h, doc = h[keep], doc[keep]
         new = np.cumsum(pick) - 1
         doc, counts, cls = new[doc], counts[pick], dig[pick, 0]
-        sig = _pack(_minima(h, counts, _MULT))
+        sig = whole[pick, :2]
         slot = (h >> U64(64 - bits)).astype(np.int64)
         rare = (common[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 0
         n_rare = np.bincount(doc[rare], minlength=len(counts))
@@ -193,7 +194,7 @@ def _members_and_entries(batches, k: int, min_words: int, threshold: float, comm
             held.append((keys.ravel() & U64(0xFFFFFFFF), row))
             return keys.size
 
-        has, poor = n_rare > 0, n_rare <= np.floor(POOR * (1 - threshold) * counts + 1e-9)
+        has, poor = n_rare > 0, n_rare <= np.floor((1 - threshold) * counts + 1e-9)
         if exact:  # every run of the prefix is a key of its own: uncommon runs first, then by hash
             order = np.lexsort((h, ~rare, doc))
             at = np.concatenate([[0], np.cumsum(counts)])[:-1]
@@ -223,11 +224,21 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(same) / MINIMA - chance) / (1 - chance)
 
 
-def cut_off(threshold: float, sigmas: float = 4.0) -> float:
+def cut_off(threshold: float, sigmas: float = 4.0, minima: int = MINIMA) -> float:
     """The estimate below which a pair is given up: ``sigmas`` standard deviations under the threshold."""
     c = 2.0**-LOW_BITS
     p = c + (1 - c) * threshold
-    return threshold - sigmas * (p * (1 - p) / MINIMA) ** 0.5 / (1 - c)
+    return threshold - sigmas * (p * (1 - p) / minima) ** 0.5 / (1 - c)
+
+
+def _more_alike(batches, least: float) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b, sig_a, sig_b) whose estimate from both signatures reaches ``least``."""
+    chance = 2.0**-LOW_BITS
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), U64).reshape(-1, 4) for c in ("sig_a", "sig_b"))
+        same = sum(np.bitwise_count(~((x[:, i] ^ y[:, i]) | (x[:, i + 1] ^ y[:, i + 1]))).astype(int) for i in (0, 2))
+        ok = pa.array((same / (2 * MINIMA) - chance) / (1 - chance) >= least)
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
 
 def _pairs_out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -249,7 +260,7 @@ def _buckets(batches, least: float) -> Iterator[pa.RecordBatch]:
         is_row = b.column("rid").is_valid()
         rows = b.filter(is_row)
         if len(rows):
-            yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("cls"), rows.column("cls2"), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())], names=["rid", "a", "b", "hot", "entry"])
+            yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("cls"), rows.column("cls2"), pa.nulls(len(rows), pa.int64()), rows.column("blob")], names=["rid", "a", "b", "hot", "entry"])
         rest = b.filter(pc.invert(is_row))
         for p, blob in zip(rest.column("part").to_pylist(), rest.column("blob").to_pylist()):
             if p != part and blobs:
@@ -416,7 +427,12 @@ def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, t
         pairs = pairs.unionByName(halves.repartition(4 * shuffle, "hot", "i", "j").mapInArrow(partial(_block_pairs, least=least), _PAIRS).select("a", "b"))
     members = found.where("kind = 0").select("rid", F.col("a").alias("cls"), F.col("b").alias("cls2")).distinct()
     reps = members.groupBy("cls", "cls2").agg(F.min("rid").alias("rep"))
-    cand = stage(pairs.distinct(), "candidates")
+    cand = pairs.distinct()
+    if not exact:
+        sigs = found.where("kind = 0").groupBy("a").agg(F.first("entry").alias("sig"))
+        x, y = (sigs.select(F.col("a").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+        cand = cand.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(partial(_more_alike, least=cut_off(threshold, 4.0, 2 * MINIMA)), "a long, b long")
+    cand = stage(cand, "candidates")
     need = cand.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     named = stage(reps.join(need, "cls").select("cls", F.col("rep").alias("rid")), "candidate-classes")
     wanted = spark.sparkContext.broadcast(wanted_sketch(named.select("rid")))
