@@ -55,7 +55,21 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = scratch(spark, name)
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_stage(staged: DataFrame) -> None:
+    """Delete the table that stage() returned, once everything made from it is staged itself."""
+    path = staged.stage_path
+    _stages.remove((staged.sparkSession, path))
+    _delete(staged.sparkSession, path)
 
 
 def release_stages() -> None:
@@ -63,8 +77,7 @@ def release_stages() -> None:
     while _stages:
         spark, path = _stages.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM has ended: nothing left to call
             return
 
@@ -96,6 +109,11 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROAD
     return (F.broadcast(df) if small else df), small
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the files of shuffles go that nothing refers to any more: Spark's cleaner waits for a collection on the driver."""
+    spark._jvm.System.gc()
+
+
 def side_by_side(*steps: Callable[[], T]) -> list[T]:
     """The results of independent steps whose jobs run at the same time, in order."""
     with ThreadPoolExecutor(len(steps)) as pool:
