@@ -30,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.words import U64, Hasher, f1_words, mix, odd_constants, run_sets
-from orrery.runtime import at_most, spread, stage
+from orrery.runtime import at_most, drop_shuffles, drop_stage, spread, stage
 
 MINIMA, LOW_BITS = 64, 2
 RARE_BANDS = 14
@@ -79,8 +79,11 @@ def _between(n: int, bounds: tuple[int, int]) -> int:
     return min(max(int(n).bit_length(), bounds[0]), bounds[1])
 
 
-def _sketch(batches, k: int, min_words: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Counters of run hashes (255 stands for more), in chunks of 2**16; chunk -1 counts the sets."""
+_TOKENS = "rid string, w array<bigint>, chunk int, counts binary"
+
+
+def _tokens(batches, k: int, min_words: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Records with enough words as hashed words; and counters of run hashes (255 stands for more) in chunks of 2**16, chunk -1 for the number of sets."""
     total = np.zeros(1 << bits, np.uint8)
     sets = 0
     for ids, tokens, sizes in _texts(batches, min_words):
@@ -88,9 +91,27 @@ def _sketch(batches, k: int, min_words: int, bits: int) -> Iterator[pa.RecordBat
         at, n = np.unique((h >> U64(64 - bits)).astype(np.int64), return_counts=True)
         total[at] = np.minimum(total[at] + n, 255)
         sets += len(ids)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64))), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=["rid", "w", "chunk", "counts"])
     if sets:
         chunks = total.reshape(-1, 1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(chunks), dtype=np.int32), np.int32(-1))), pa.array([*(c.tobytes() for c in chunks), sets.to_bytes(8, "little")], pa.binary())], names=["chunk", "counts"])
+        used = np.flatnonzero(chunks.any(axis=1))
+        n = len(used) + 1
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int64())), pa.array(np.append(used, -1).astype(np.int32)), pa.array([*(chunks[c].tobytes() for c in used), sets.to_bytes(8, "little")], pa.binary())], names=["rid", "w", "chunk", "counts"])
+
+
+def _words(batches) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(ids, hashed words on end, words per record) of batches (rid, w), in bounded portions."""
+    for b in batches:
+        ids, lists = b.column(0).to_pylist(), b.column(1)
+        at = np.array(lists.offsets).astype(np.int64)
+        flat = np.array(lists.values).view(U64)
+        i = 0
+        while i < len(ids):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + BATCH_WORDS)))
+            j = min(j, len(ids))
+            yield ids[i:j], flat[at[i] : at[j]], np.diff(at[i : j + 1])
+            i = j
 
 
 def _sum_sketch(batches) -> Iterator[pa.RecordBatch]:
@@ -103,21 +124,33 @@ def _sum_sketch(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([out], pa.binary())], names=["chunk", "common"])
 
 
-def common_runs(records: DataFrame, k: int, min_words: int) -> tuple[np.ndarray, int]:
-    """(packed bits, sets): whether a run hash with these leading bits is common, and the number of sets.
+def common_runs(records: DataFrame, k: int, min_words: int) -> tuple[DataFrame, np.ndarray, int]:
+    """(stage table of tokens, packed bits, sets): the records as hashed words (where rid isn't null), whether a run hash with these leading bits is common, and the number of sets.
 
-    The sketch counts every run of every record; it has 2**26 counters at
-    most, and what calls a run common is above the mean where they are full.
+    Texts are read and cut into words here alone. The sketch counts every
+    run of every record; it has 2**26 counters at most, and what calls a
+    run common is above the mean where they are full.
     """
     bits = _between(16 * records.count(), SKETCH_BITS)
-    parts = records.mapInArrow(partial(_sketch, k=k, min_words=min_words, bits=bits), "chunk int, counts binary").repartition("chunk")
+    found = stage(records.mapInArrow(partial(_tokens, k=k, min_words=min_words, bits=bits), _TOKENS), "tokens")
+    parts = found.where("rid is null").select("chunk", "counts").repartition("chunk")
     common, sets = np.zeros((1 << bits) // 8, np.uint8), 0
     for row in parts.mapInArrow(_sum_sketch, "chunk int, common binary").toLocalIterator():
         if row["chunk"] < 0:
             sets = int.from_bytes(row["common"], "little")
         else:
             common[row["chunk"] << 13 : (row["chunk"] + 1) << 13] = np.frombuffer(row["common"], np.uint8)
-    return common, sets
+    return found, common, sets
+
+
+def part_labels(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of ``parts`` partitions a number that the hash partitioner sends there, so that no two parts meet in a task."""
+    n = F.col("id").cast("int")
+    rows = spark.range(parts * (8 + parts.bit_length())).groupBy(F.pmod(F.hash(n), F.lit(parts)).alias("p")).agg(F.min(n).alias("n")).collect()
+    out = np.full(parts, rows[0]["n"], np.int32)
+    for r in rows:
+        out[r["p"]] = r["n"]
+    return out
 
 
 def _minima(h: np.ndarray, counts: np.ndarray, mult: np.ndarray) -> np.ndarray:
@@ -146,10 +179,11 @@ def prefix_sizes(counts: np.ndarray, threshold: float) -> np.ndarray:
     return counts - np.ceil(threshold * counts - 1e-9).astype(np.int64) + 1
 
 
-def _members_and_entries(batches, k: int, min_words: int, threshold: float, common, parts: int, exact: bool) -> Iterator[pa.RecordBatch]:
+def _members_and_entries(batches, k: int, threshold: float, common, labels: np.ndarray, exact: bool) -> Iterator[pa.RecordBatch]:
     """Membership rows (rid, class digest, two signatures) and blobs of band entries by partition."""
     common = common.value
     bits = (8 * len(common)).bit_length() - 1
+    parts = len(labels)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n_held = 0
 
@@ -163,16 +197,16 @@ def _members_and_entries(batches, k: int, min_words: int, threshold: float, comm
         pieces = np.split(rows, cut)
         ps = part[np.concatenate([[0], cut])]
         n = len(ps)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ps.astype(np.int32)), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["rid", "cls", "cls2", "part", "blob"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(labels[ps]), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["rid", "cls", "cls2", "part", "blob"])
 
-    for ids, tokens, sizes in _texts(batches, min_words):
+    for ids, tokens, sizes in _words(batches):
         h, doc, counts = run_sets(tokens, sizes, k)
         at = np.concatenate([[0], np.cumsum(counts)])
         raw = h.tobytes()
         dig = np.array([np.frombuffer(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest(), U64) for a, b in zip(at[:-1], at[1:])]).reshape(-1, 2)
         n = len(ids)
         whole = np.concatenate([_pack(_minima(h, counts, m)) for m in (_MULT, _MORE_MULT)], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(dig[:, 0].view(np.int64)), pa.array(dig[:, 1].view(np.int64)), pa.array((dig[:, 0] % U64(parts)).astype(np.int32)), pa.array([x.tobytes() for x in whole], pa.binary())], names=["rid", "cls", "cls2", "part", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(dig[:, 0].view(np.int64)), pa.array(dig[:, 1].view(np.int64)), pa.array(labels[(dig[:, 0] % U64(parts)).astype(np.int64)]), pa.array([x.tobytes() for x in whole], pa.binary())], names=["rid", "cls", "cls2", "part", "blob"])
         _, first = np.unique(dig[:, 0], return_index=True)  # copies within the portion enter bands once
         pick = np.zeros(n, bool)
         pick[first] = True
@@ -365,18 +399,18 @@ def wanted_sketch(rids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sets(batches, k: int, min_words: int, wanted) -> Iterator[pa.RecordBatch]:
+def _sets(batches, k: int, wanted) -> Iterator[pa.RecordBatch]:
     bits = wanted.value
     n_bits = (8 * len(bits)).bit_length() - 1
 
     def thinned():
         for b in batches:
-            at = np.array([-1 if r is None else _slot(r, n_bits) for r in b.column(0).to_pylist()], np.int64)
-            keep = (at >= 0) & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+            at = np.array([_slot(r, n_bits) for r in b.column(0).to_pylist()], np.int64)
+            keep = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             if keep.any():
                 yield b.filter(pa.array(keep))
 
-    for ids, tokens, sizes in _texts(thinned(), min_words):
+    for ids, tokens, sizes in _words(thinned()):
         h, _, counts = run_sets(tokens, sizes, k)
         at = np.concatenate([[0], np.cumsum(counts)])
         raw = h.tobytes()
@@ -411,12 +445,14 @@ def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, t
     least_words = max(min_words or k, k)
     src = spread(records.select(F.col(record_id).cast("string").alias("rid"), F.col(text).alias("txt")).where("rid is not null"))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    common, sets = common_runs(src, k, least_words)
+    staged, common, sets = common_runs(src, k, least_words)
+    tokens = spread(staged.where("rid is not null").select("rid", "w"))
     parts = parts or max(4 * shuffle, -(-sets * (RARE_BANDS + FULL_BANDS) * _ENTRY.itemsize // PART_BYTES))
     common = spark.sparkContext.broadcast(common)
     least = -1.0 if exact else cut_off(threshold)
-    entries = src.mapInArrow(partial(_members_and_entries, k=k, min_words=least_words, threshold=threshold, common=common, parts=parts, exact=exact), "rid string, cls long, cls2 long, part int, blob binary")
+    entries = tokens.mapInArrow(partial(_members_and_entries, k=k, threshold=threshold, common=common, labels=part_labels(spark, parts), exact=exact), "rid string, cls long, cls2 long, part int, blob binary")
     found = stage(entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(partial(_buckets, least=least), _PAIRS).withColumn("kind", F.when(F.col("rid").isNotNull(), 0).when(F.col("hot").isNull(), 1).otherwise(2)), "buckets", by="kind")
+    drop_shuffles(spark)
     pairs = found.where("kind = 1").select("a", "b")
     hot = found.where("kind = 2").select("hot", "entry")
     if not at_most(hot, 0):
@@ -436,8 +472,9 @@ def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, t
     need = cand.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     named = stage(reps.join(need, "cls").select("cls", F.col("rep").alias("rid")), "candidate-classes")
     wanted = spark.sparkContext.broadcast(wanted_sketch(named.select("rid")))
-    sets = src.mapInArrow(partial(_sets, k=k, min_words=least_words, wanted=wanted), "rid string, runs binary").dropDuplicates(["rid"])
+    sets = tokens.mapInArrow(partial(_sets, k=k, wanted=wanted), "rid string, runs binary").dropDuplicates(["rid"])
     sets = stage(named.join(sets, "rid"), "candidate-sets")
+    drop_stage(staged)
     one, two = (sets.select(F.col("cls").alias(x), F.col("rid").alias(f"rid_{x}"), F.col("runs").alias(f"runs_{x}")) for x in "ab")
     checked = cand.join(one, "a").join(two, "b").select("rid_a", "rid_b", "runs_a", "runs_b").mapInArrow(_exact, "rid_a string, rid_b string, jaccard double").where(F.col("jaccard") >= threshold)
     links = checked.select(F.least("rid_a", "rid_b").alias("rep_a"), F.greatest("rid_a", "rid_b").alias("rep_b"), "jaccard").distinct()

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.near_duplicates import components, near_duplicates, similar_pairs
-from orrery.runtime import side_by_side
 from orrery.sources.tables import table
 
 _TABLES = (("utterances", "utterance_id"), ("facts", "record_id"))
@@ -21,7 +18,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         members, links = near_duplicates(table(spark, sf_dir, name), rid, "text", k=3, threshold=0.5, min_words=12)
         return similar_pairs(members, links).select(F.lit(name).alias("tbl"), "key_a", "key_b")
 
-    a, b = side_by_side(*[partial(pairs, *t) for t in _TABLES])
+    a, b = (pairs(*t) for t in _TABLES)
     return a.unionByName(b)
 
 
@@ -33,7 +30,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         roots = components(links, "rep_a", "rep_b")
         return members.join(roots, F.col("rep") == F.col("node"), "left").select(F.lit(name).alias("tbl"), F.col("rid").alias("record_key"), F.col("rep").alias("class_key"), F.coalesce("root", "rep").alias("group_key"))
 
-    a, b = side_by_side(*[partial(groups, *t) for t in _TABLES])
+    a, b = (groups(*t) for t in _TABLES)
     return a.unionByName(b)
 
 
