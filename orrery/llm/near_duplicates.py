@@ -46,6 +46,8 @@ COMMON_ABOVE = 128
 WANTED_BITS = (24, 28)
 HOT_BUCKET = 4096
 BATCH_WORDS = 400_000
+#: Band entries that a task holds before it hands them on.
+HELD_ENTRIES = 500_000
 #: Bytes of band entries that a task pairs at once.
 PART_BYTES = 64 << 20
 _MULT = odd_constants(MINIMA, 4711)
@@ -244,7 +246,7 @@ def _members_and_entries(batches, k: int, threshold: float, common, labels: np.n
             for r in range(FULL_ROWS):
                 key = mix(key + m[:, r])
             n_held += entries(np.flatnonzero(poor), key + np.arange(1000, 1000 + FULL_BANDS, dtype=U64)[:, None])
-        if n_held > 2_000_000:
+        if n_held > HELD_ENTRIES:
             yield flush()
             held, n_held = [], 0
     if n_held:
