@@ -200,3 +200,19 @@ def test_prefixes_share_a_run():
             if len(a & b) >= t * len(a | b):
                 p, q = (sorted(s)[: N.prefix_sizes(np.array([len(s)]), t)[0]] for s in (a, b))
                 assert set(p) & set(q)
+
+
+def test_poor_sets_are_paired_in_rounds_of_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(N, "COMMON_ABOVE", -1)  # as in a large collection: every run counts as common
+    rng = random.Random(5)
+    words = [a + b + c for a in "bcdfgklm" for b in "aeiou" for c in "nrstlxyz"]
+    n = 3000
+    texts = [" ".join(rng.choice(words) for _ in range(16)) for _ in range(n)]
+    df = spark.createDataFrame([(f"r{i:05d}", t) for i, t in enumerate(texts)] + [("twin", texts[7] + " more")], "id string, text string").repartition(3)
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for i in [store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())] for s in (i.apply(j) for j in range(i.size()))}
+    before = set(stages())
+    members, links = N.near_duplicates(df, "id", "text", k=3, threshold=0.5, min_words=12)
+    assert [tuple(r)[:2] for r in links.collect()] == [("r00007", "twin")] and members.count() == n + 1
+    # an entry of every band at once would be 46 x 28 bytes a set
+    assert max(b for s, b in stages().items() if s not in before) < 600 * n
