@@ -488,7 +488,7 @@ def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, t
     checked. That costs entries in proportion to the words of a text.
 
     Entries are made and paired in rounds of about ROUND_ENTRIES a set, and
-    candidates are checked in slices of as many bytes.
+    candidates are checked in slices of as many bytes, or more for long texts.
     """
     spark = records.sparkSession
     least_words = max(min_words or k, k)
@@ -543,7 +543,8 @@ def near_duplicates(records: DataFrame, record_id: str, text: str, k: int = 5, t
     drop_shuffles(spark)
     one, two = (sets.select(F.col("cls").alias(x), F.col("rid").alias(f"rid_{x}"), F.col("runs").alias(f"runs_{x}")) for x in "ab")
     set_bytes = sets.agg(F.avg(F.octet_length("runs"))).first()[0] or 0
-    n = -(-int(2 * set_bytes * cand.count()) // round_bytes)
+    # a slice moves as much as a round does, or half of all runs where texts are long
+    n = -(-int(2 * set_bytes * cand.count()) // max(round_bytes, 4 * n_runs, PART_BYTES))
     links = []
     for i in range(max(1, n)):
         of_slice = F.pmod(F.xxhash64("a"), F.lit(n)) == i if n > 1 else F.lit(True)
