@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -251,3 +252,24 @@ def test_flow_of_many_patterns_ends_soon():
     total = sum(patterns.values())
     flow = M.plan(patterns, {s: total // 16 for s in sources}, {s: 1 + i % 3 for i, s in enumerate(sources)})
     assert sum(flow.values()) == total // 16 * 16
+
+
+def test_p6_found_decodes_by_the_fitted_model(spark, tmp_path, monkeypatch):
+    from orrery.llm import q_turns as Q
+
+    rng = random.Random(12)
+    rows = [(src, f"{src}-{i:06d}", f"0:{i // 60:02d}:{i % 60:02d}", rng.choice(["AAA", "BBB", None, None]), rng.choice(["orbit burn", "medic pulse", "uh"]), "x", 1) for src in "st" for i in range(1, 200)]
+    spark.createDataFrame(rows, UTTERANCES).write.parquet(f"{tmp_path}/utterances.parquet")
+    spark.createDataFrame([], SPEAKERS).write.parquet(f"{tmp_path}/speakers.parquet")
+    used = []
+    turns = Q.speaker_turns
+    monkeypatch.setattr(Q, "speaker_turns", lambda records, *more, **how: used.append((*more, *how.values())) or turns(records, *more, **how))
+    assert {tuple(r) for r in Q.p6_found(spark, str(tmp_path)).collect()} == plain_turns(rows, {})
+    assert used and used[0] and set(used[0][0].codes) == {"AAA", "BBB"} and len(used[0][0].words[0]) and len(used[0][0].trans[0])
+    # the best of all paths that never change the speaker, by the model's own scores
+    m = used[0][0]
+    chain = T.Kept(m.codes, m.words, m.trans, m.start)
+    texts = ["orbit burn", "medic pulse", "none"]
+    for left, right in itertools.product(["AAA", "BBB"], ["AAA", "BBB", None]):
+        assert chain.decode(texts, left, right) == [left] * 3 and np.isfinite(chain.enter(left)[1]).sum() == 1
+    assert chain.decode(texts, None, "AAA") == [None] * 3 and chain.decode(texts, "", "AAA") == [""] * 3
