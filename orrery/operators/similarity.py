@@ -182,7 +182,18 @@ def window_counts(windows: DataFrame) -> DataFrame:
 
 
 def top_pairs(truth: DataFrame, windows: DataFrame, size: int, limit: int = 10) -> DataFrame:
-    """The most similar pairs across files, without those that overlap a pair already taken on both sides.
+    """The pairs of best_pairs() with the first words of either window."""
+    return with_texts(best_pairs(truth, size, limit), windows)
+
+
+def with_texts(top: DataFrame, windows: DataFrame) -> DataFrame:
+    """A few pairs (a, b, j) with the first words of either window, the most similar first."""
+    one, two = (windows.select(F.col("window_id").alias(i), excerpt(F.col("tokens")).alias(f"{i}_text")) for i in "ab")
+    return one.join(F.broadcast(two.join(F.broadcast(top), "b")), "a").orderBy(F.desc("j"), "a", "b").select("a", "b", F.round("j", 4).alias("jaccard"), "a_text", "b_text")
+
+
+def best_pairs(truth: DataFrame, size: int, limit: int = 10) -> DataFrame:
+    """(a, b, j) of the most similar pairs across files, without those that overlap a pair already taken on both sides.
 
     The greedy choice is local to two files: a pair is only ever set aside
     for a better pair of the same two files. Pairs are thus chosen per pair
@@ -208,6 +219,4 @@ def top_pairs(truth: DataFrame, windows: DataFrame, size: int, limit: int = 10)
     within = Window.partitionBy("file_a", "file_b").orderBy(F.desc("j"), "a", "b")
     near = truth.where(cross()).select("file_a", "file_b", "a", "b", "start_a", "start_b", "j", F.row_number().over(within).alias("rn")).where(F.col("rn") <= limit * (2 * size - 1) ** 2).drop("rn")
     best = near.groupBy("file_a", "file_b").applyInPandas(greedy, "a string, b string, j double")
-    top = best.orderBy(F.desc("j"), "a", "b").limit(limit)
-    one, two = (windows.select(F.col("window_id").alias(i), excerpt(F.col("tokens")).alias(f"{i}_text")) for i in "ab")
-    return one.join(F.broadcast(two.join(F.broadcast(top), "b")), "a").orderBy(F.desc("j"), "a", "b").select("a", "b", F.round("j", 4).alias("jaccard"), "a_text", "b_text")
+    return best.orderBy(F.desc("j"), "a", "b").limit(limit)

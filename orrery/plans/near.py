@@ -144,7 +144,16 @@ def windows_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top_pairs(stage(_truth(spark, sf_dir), "exact-pairs"), _windows(spark, sf_dir), SIZE)
+    """The ten best pairs. Where pairs of NEAR or more make up all ten, those below them can't be among them."""
+    sets, file = _packed(spark, sf_dir), F.format_string("%06d", "doc_id")
+    for least in (NEAR, KEEP):
+        top = S.best_pairs(P.near_pairs(sets, SIZE, least), SIZE)
+        rows = top.collect()
+        if len(rows) == 10:
+            break
+    files = sorted({r[i].rpartition(":")[0] for r in rows for i in "ab"})
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(file.isin(files))
+    return S.with_texts(spark.createDataFrame(rows, top.schema), S.token_windows(docs, file, "text", SIZE, STRIDE))
 
 
 def lsh_candidates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
