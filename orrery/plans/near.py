@@ -136,7 +136,8 @@ def s_curve_theory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.coverage(S.exact_pairs(_sets(spark, sf_dir), SIZE, NEAR), _windows(spark, sf_dir), SIZE, NEAR)
+    files = table(spark, sf_dir, "documents").where(F.lower("text").rlike("[a-z]")).select(F.format_string("%06d", "doc_id").alias("file"))
+    return S.coverage(P.near_pairs(_packed(spark, sf_dir), SIZE, NEAR), files, SIZE, NEAR)
 
 
 def windows_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
